@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import fingerprints, line_dedup, mixing, packing, repetition, simhash, token_counts, toxicity, url_filter
+from timberline.llm import fingerprints, line_dedup, mixing, packing, repetition, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
