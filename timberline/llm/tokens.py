@@ -2,7 +2,8 @@
 
 The vocabulary's normalizer works inside words (white space is dropped, and no
 pre-token crosses it), so a text's ids are the ids of its words in order. Words
-repeat, hence each distinct word is encoded once per worker. The memo is
+repeat, hence each distinct word is encoded once per worker, many new ones in one call: a word of
+letters is one pre-token, whose last id alone is marked as a word's end. The memo is
 bounded and restarts empty when full.
 """
 
@@ -10,8 +11,12 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
+
 MEMO = 700_000
-_PUNCT = frozenset(b".,;:")
+JOINED = 500
+#: ASCII punctuation without the apostrophe, which contractions begin with.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -31,28 +36,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        from array import array
-
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, code in zip(words, found):
-            ids = array("I", code.ids)
-            self.memo[word] = ids.tobytes()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(code.ids, "<u4").tobytes() for code in found]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: one call, cut behind each id that ends a word."""
+        code = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(code.ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or (len(cuts) and cuts[-1] != len(ids)):
+            return self._encode(words)
+        raw, at = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
 
     def _learn(self, unknown: set[bytes]) -> None:
-        memo, split, plain = self.memo, [], set()
+        memo, parts, letters, others = self.memo, {}, set(), set()
         for word in unknown:
-            # "word," is the pre-tokens "word" and ","; the bare word is likelier to be known
-            if len(word) > 1 and word[-1] in _PUNCT and (65 <= word[-2] <= 90 or 97 <= word[-2] <= 122):
-                split.append(word)
-                plain.update(x for x in (word[:-1], word[-1:]) if x not in memo)
+            text = word.decode("utf-8", "replace")
+            tail = text.lstrip(PUNCTUATION)
+            core = tail.rstrip(PUNCTUATION)
+            if core.isalpha() and core.lower().isalpha() and not any(x in text for x in self.special):
+                letters.add(core)
+                if len(core) < len(text):
+                    head, tail = text[: len(text) - len(tail)], tail[len(core) :]
+                    parts[word] = (head, core, tail)
+                    others.update(x for x in (head, tail) if x)
             else:
-                plain.add(word)
-        self._encode([w for w in plain if w not in memo])
-        for word in split:
-            memo[word] = memo[word[:-1]] + memo[word[-1:]]
+                others.add(text)
+        fresh = {w: k for w in letters if (k := w.encode()) not in memo}
+        words = list(fresh)
+        for at in range(0, len(words), JOINED):
+            group = words[at : at + JOINED]
+            for word, ids in zip(group, self._encode_letters(group)):
+                memo[fresh[word]] = ids
+        words = [w for w in others if w.encode() not in memo]
+        if words:
+            for word, ids in zip(words, self._encode(words)):
+                memo[word.encode()] = ids
+        for word, pieces in parts.items():
+            memo[word] = b"".join([memo[x.encode()] for x in pieces if x])
+        for word in unknown:
+            if word not in memo:  # bytes that aren't UTF-8
+                memo[word] = memo[word.decode("utf-8", "replace").encode()]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO:
