@@ -16,7 +16,7 @@ import numpy as np
 MEMO = 700_000
 JOINED = 500
 #: ASCII punctuation without the apostrophe, which contractions begin with.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -26,6 +26,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters, and stays so in lower case (a dotted capital I doesn't)."""
+    try:
+        return word.decode().isalpha() and b"\xc4\xb0" not in word
+    except UnicodeDecodeError:
+        return False
+
+
 class WordEncoder:
     """ids(texts): for each UTF-8 text its ids as little-endian unsigned 32-bit bytes."""
 
@@ -40,51 +48,53 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(code.ids, "<u4").tobytes() for code in found]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters: one call, cut behind each id that ends a word."""
-        code = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        code = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
         ids = np.array(code.ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or (len(cuts) and cuts[-1] != len(ids)):
-            return self._encode(words)
+            return self._encode([w.decode() for w in words])
         raw, at = ids.tobytes(), (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip([0, *at], at)]
 
     def _learn(self, unknown: set[bytes]) -> None:
-        memo, parts, letters, others = self.memo, {}, set(), set()
+        memo, letters, others, parts = self.memo, [], [], []
+        cores, ends = set(), set()
         for word in unknown:
-            text = word.decode("utf-8", "replace")
-            tail = text.lstrip(PUNCTUATION)
-            core = tail.rstrip(PUNCTUATION)
-            if core.isalpha() and core.lower().isalpha() and not any(x in text for x in self.special):
-                letters.add(core)
-                if len(core) < len(text):
-                    head, tail = text[: len(text) - len(tail)], tail[len(core) :]
-                    parts[word] = (head, core, tail)
-                    others.update(x for x in (head, tail) if x)
+            if word.isalpha():
+                letters.append(word)
+                continue
+            core = word.strip(PUNCTUATION)
+            if not core or b"<|" in word or not (core.isalpha() or _letters(core)):
+                others.append(word)
+            elif len(core) == len(word):
+                letters.append(word)
             else:
-                others.add(text)
-        fresh = {w: k for w in letters if (k := w.encode()) not in memo}
-        words = list(fresh)
-        for at in range(0, len(words), JOINED):
-            group = words[at : at + JOINED]
-            for word, ids in zip(group, self._encode_letters(group)):
-                memo[fresh[word]] = ids
-        words = [w for w in others if w.encode() not in memo]
-        if words:
-            for word, ids in zip(words, self._encode(words)):
-                memo[word.encode()] = ids
-        for word, pieces in parts.items():
-            memo[word] = b"".join([memo[x.encode()] for x in pieces if x])
-        for word in unknown:
-            if word not in memo:  # bytes that aren't UTF-8
-                memo[word] = memo[word.decode("utf-8", "replace").encode()]
+                at = word.index(core)
+                head, tail = word[:at], word[at + len(core) :]
+                parts.append((word, head, core, tail))
+                if core not in memo and core not in unknown:
+                    cores.add(core)
+                if head and head not in memo:
+                    ends.add(head)
+                if tail and tail not in memo:
+                    ends.add(tail)
+        letters += cores
+        others += ends.difference(others)
+        for at in range(0, len(letters), JOINED):
+            group = letters[at : at + JOINED]
+            memo.update(zip(group, self._encode_letters(group)))
+        if others:
+            memo.update(zip(others, self._encode([w.decode("utf-8", "replace") for w in others])))
+        memo[b""] = b""
+        for word, head, core, tail in parts:
+            memo[word] = memo[head] + memo[core] + memo[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO:
