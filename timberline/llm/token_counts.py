@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, text_or_empty
+from timberline.llm.common import documents, materialize, text_or_empty
 from timberline.llm.tokens import default_tokenizer, encoder
 
 BLOCK = 1024
@@ -44,7 +44,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     q-quantile). Suffix sums run inside blocks of lengths, then over block totals, so
     no task sorts all lengths.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
