@@ -28,7 +28,7 @@ from timberline.llm.tokens import default_tokenizer, encoder
 CAPACITY = 2048
 GRAIN = 256
 WINDOWS = 32
-FILL = 0.9985
+FILL = 0.993
 BUCKET_PIECES = 40_000
 END = (1).to_bytes(4, "little")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -59,23 +59,29 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: k lists of positions in sizes, of near-equal sums."""
-    if k == 1:
-        return [list(range(len(sizes)))]
-    heap: list[tuple[int, int, list[tuple[int, list]]]] = []
-    for i, v in enumerate(sizes):
-        heap.append((-v, i, [(0, [])] * (k - 1) + [(v, [i])]))
+    """Karmarkar-Karp: k lists of positions in sizes, of near-equal sums.
+
+    A partial partition is its non-empty parts, ascending, as (sum, first position, members); the rest of
+    its k parts are empty. Members nest until the end.
+    """
+    heap: list[tuple[int, int, list[tuple]]] = [(-v, i, [(v, i, i)]) for i, v in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, at, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        # fullest of one with emptiest of the other; members stay nested lists until the end
-        merged = [(x[0] + y[0], [x[1], y[1]] if x[1] and y[1] else x[1] or y[1]) for x, y in zip(a, reversed(b))]
-        merged.sort(key=lambda w: w[0])
-        least = merged[0][0]
+        if len(a) < len(b):
+            a, b = b, a
+        # the fullest of b go to the emptiest of a: first its empty parts, then the least
+        alone = min(len(b), k - len(a))
+        n = len(b) - alone
+        merged = [(x[0] + y[0], x[1], (x[2], y[2])) for x, y in zip(a, reversed(b[:n]))]
+        merged += a[n:]
+        merged += b[n:]
+        merged.sort()
+        least = merged[0][0] if len(merged) == k else 0
         heapq.heappush(heap, (least - merged[-1][0], at, merged))
     out = []
-    for _, members in heap[0][2] if heap else [(0, [])] * k:
+    for _, _, members in heap[0][2] if heap else []:
         flat, todo = [], [members]
         while todo:
             x = todo.pop()
@@ -84,7 +90,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
             else:
                 todo.extend(x)
         out.append(sorted(flat))
-    return out
+    return out + [[]] * (k - len(out))
 
 
 def spread(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:

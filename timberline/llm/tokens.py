@@ -4,7 +4,7 @@ The vocabulary's normalizer works inside words (white space is dropped, and no
 pre-token crosses it), so a text's ids are the ids of its words in order. Words
 repeat, hence each distinct word is encoded once per worker, many new ones in one call: a word of
 letters is one pre-token, whose last id alone is marked as a word's end. The memo is
-bounded and restarts empty when full.
+bounded; when full it keeps the words that came again.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -98,13 +99,18 @@ class WordEncoder:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo = {w: self.memo[w] for w in self.again}
+            self.again = set()
         # ASCII white space only: every piece boundary is white space for the tokenizer, too
         words = [t.split() for t in texts]
-        unknown = set(chain.from_iterable(words)).difference(self.memo)
+        distinct = set(chain.from_iterable(words))
+        unknown = distinct.difference(self.memo)
+        self.again |= distinct.difference(unknown)
         if unknown:
             self._learn(unknown)
-        get = self.memo.__getitem__
+        # a small table of these texts' words stays in the processor's cache
+        memo = self.memo
+        get = {w: memo[w] for w in distinct}.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
