@@ -54,10 +54,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, block, hot", [(1, 3000, 20_000), (2, 3000, 1), (3, 10**7, 2), (4, 500, 20_000)])
-def test_against_brute_force(make_docs, seed, block, hot):
+@pytest.mark.parametrize("seed, block, hot, often", [(1, 3000, 20_000, 20_000), (2, 3000, 1, 20_000), (3, 10**7, 2, 5), (4, 500, 20_000, 3), (5, 2000, 20_000, 1), (6, 2000, 20_000, 20)])
+def test_against_brute_force(make_docs, seed, block, hot, often):
     rows = corpus(seed)
-    found = sd.dedup(make_docs(rows), ranges=3, block_bytes=block, hot=hot, texts=True).collect()
+    found = sd.dedup(make_docs(rows), ranges=3, block_bytes=block, hot=hot, hot_anchors=often, texts=True).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=str) == brute(rows)
     for r in found:
         assert sum(s["to"] - s["from"] for s in r.spans) == r.n_removed

@@ -13,9 +13,11 @@ at anchors (about 7 % of the bytes) are sorted, and among them only those whose
 3. Each range merges its runs with a loser tree that carries common prefix lengths: unequal lengths
    decide without looking at the bytes, equal ones compare from there on. The lengths that come out
    delimit groups of one anchor and tell which windows two different suffixes can share; such
-   windows get the least doc_id by their bytes. Groups with very many different suffixes send these
-   windows to one more aggregation by digest instead, so no task holds such a group.
-4. Blocks turn the answers into spans of their documents.
+   windows get the least doc_id by their bytes.
+4. Anchors that occur very often (blocks report those they have many of, ranges add up) are left out
+   of the runs: their windows, one of equal ones a block, are aggregated by 128-bit digest, so no task
+   merges more suffixes of one anchor than a bound that doesn't grow with the data.
+5. Blocks turn the answers into spans of their documents.
 
 Recomputed tasks write the same block files under the same names. Null texts are empty. Null doc_ids are larger
 than all others; rows with equal doc_ids don't remove from each other. An empty table gives no rows.
@@ -42,6 +44,9 @@ LEFT = LENGTH - GRAM
 WIDTH = LENGTH + LEFT
 BLOCK_BYTES = 16_000_000
 HOT_CLASSES = 20_000
+HOT_ANCHORS = 20_000
+HEAVY = 32
+RANGES_PER_PART = 3
 PIECE = 1 << 18
 PAD = 0xFF
 NULL_ID = 2**63 - 1
@@ -168,13 +173,14 @@ def _lay_blocks(docs: DataFrame, base: str, ranges: int, block_bytes: int) -> Da
             _save(f"{base}/text", str(block), text=text, lengths=lengths, ids=np.concatenate(ids))
             ends = np.cumsum(lengths)
             _, hashed, _ = anchors(text, ends - lengths, ends)
-            hashed = np.unique(hashed)
+            hashed, times = np.unique(hashed, return_counts=True)
             edges = np.searchsorted(hashed, (np.arange(ranges + 1) << 40) // ranges)
             rows = [pack_sorted(hashed[a:b]) for a, b in zip(edges, edges[1:])]
+            often = [np.r_[hashed[a:b][times[a:b] >= HEAVY], times[a:b][times[a:b] >= HEAVY]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:])]
             ids.clear()
             texts.clear()
             size, count = 0, count + 1
-            return pa.record_batch([pa.array(range(ranges), pa.int32()), pa.array([block] * ranges, pa.int64()), pa.array(rows, pa.binary())], ["range", "block", "payload"])
+            return pa.record_batch([pa.array(range(ranges), pa.int32()), pa.array([block] * ranges, pa.int64()), pa.array(rows, pa.binary()), pa.array(often, pa.binary())], ["range", "block", "payload", "often"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -189,21 +195,31 @@ def _lay_blocks(docs: DataFrame, base: str, ranges: int, block_bytes: int) -> Da
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("t"))
-    return rows.mapInArrow(run, "range int, block long, payload binary")
+    return rows.mapInArrow(run, "range int, block long, payload binary, often binary")
 
 
-def _shared_hashes(table: pa.Table) -> pa.Table:
-    """For each block of a range, those of its hashes that another block has."""
-    blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
-    arrays = [unpack_sorted(x) for x in payloads]
-    every = np.sort(np.concatenate(arrays)) if arrays else np.array([], np.int64)
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for own in arrays:
-        at = np.searchsorted(twice, own)
-        at[at == len(twice)] = 0
-        out.append(pack_sorted(own[twice[at] == own]) if len(twice) else b"\0")
-    return pa.table({"block": pa.array(blocks, pa.int64()), "payload": pa.array(out, pa.binary())})
+def _shared_hashes(table: pa.Table, hot: int) -> pa.Table:
+    """For each block of a range, those of its hashes that another block has, and those with ``hot`` or more places in all."""
+    blocks = table.column("block").to_pylist()
+    arrays = [unpack_sorted(x) for x in table.column("payload").to_pylist()]
+    every, times = np.unique(np.concatenate(arrays), return_counts=True)
+    twice = every[times >= 2]
+    for raw in table.column("often").to_pylist():
+        many, count = np.frombuffer(raw, "<i8").reshape(2, -1)
+        times[np.searchsorted(every, many)] += count - 1
+    burning = every[times >= hot]
+    shared = [pack_sorted(own[_member(own, twice)]) for own in arrays]
+    often = [pack_sorted(own[_member(own, burning)]) for own in arrays]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "payload": pa.array(shared, pa.binary()), "often": pa.array(often, pa.binary())})
+
+
+def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(of, values)
+    at[at == len(of)] = 0
+    return of[at] == values
 
 
 # --- 2: sorted runs --------------------------------------------------------------------------
@@ -228,8 +244,36 @@ def spans_of(place: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return np.where(ok, place - left, place), np.where(ok, place + right, place)
 
 
-def make_runs(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: np.ndarray, ranges: int) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The block's run for each range, and what it must remember to use the answers."""
+def hot_windows(text: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Distinct windows around hot anchors (digest halves, least doc_id, number), and what the block remembers of them."""
+    at = (place[:, None] - np.arange(LEFT + 1)).ravel()
+    ok = (at >= np.repeat(start, LEFT + 1)) & (at + LENGTH <= np.repeat(end, LEFT + 1))
+    at, first = np.unique(at[ok], return_index=True)
+    doc = np.repeat(doc, LEFT + 1)[ok][first]
+    h1, h2 = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for i in range(0, len(at), PIECE):
+        part = at[i : i + PIECE]
+        cells = np.zeros((len(part), 56), np.uint8)
+        cells[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[part]
+        words = cells.view("<u8")
+        for out, c in ((h1, C1), (h2, C3)):
+            h = np.full(len(part), c, np.uint64)
+            for k in range(7):
+                h = (h ^ words[:, k]) * c
+                h ^= h >> np.uint64(29 + (k & 3))
+            out[i : i + PIECE] = ((h ^ (h >> np.uint64(32))) * C0).view(np.int64)
+    order = np.lexsort((h2, h1))
+    at, doc, h1, h2 = at[order], doc[order], h1[order], h2[order]
+    fresh = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(at)]
+    number, edge = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    least = np.minimum.reduceat(doc, edge) if len(edge) else doc
+    gone, mine = doc > least[number], doc == least[number]
+    rows = {"h1": h1[edge], "h2": h2[edge], "doc": least, "number": np.arange(len(edge))}
+    return rows, {"wnumber": number[mine], "wplace": at[mine], "gone": at[gone]}
+
+
+def make_runs(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: np.ndarray, hot: np.ndarray, ranges: int) -> tuple[list[bytes], dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The block's run for each range, its windows at hot anchors, and what it must remember to use the answers."""
     ends = np.cumsum(lengths)
     starts = ends - lengths
     place, hashed, of = anchors(text, starts, ends)
@@ -241,14 +285,15 @@ def make_runs(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: np
         own = ids[of[order]]
         several = np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge)
         both[order] = np.repeat(several, np.diff(np.r_[edge, len(order)]))
-    if len(shared):
-        at = np.searchsorted(shared, hashed)
-        at[at == len(shared)] = 0
-        both |= shared[at] == hashed
+    burning = _member(hashed, hot)
+    x = np.flatnonzero(burning)
+    windows, known = hot_windows(text, place[x], starts[of[x]], ends[of[x]], ids[of[x]])
+    both = (both | _member(hashed, shared)) & ~burning
     place, hashed, of = place[both], hashed[both], of[both]
-    memory = {"number": np.array([], np.int32), "place": np.array([], np.int32), "a": np.array([], np.int32), "b": np.array([], np.int32)}
+    gone = known["gone"].astype(np.int32)
+    memory = {"number": np.array([], np.int32), "place": np.array([], np.int32), "a": gone, "b": gone + LENGTH, "wnumber": known["wnumber"].astype(np.int32), "wplace": known["wplace"].astype(np.int32)}
     if not len(place):
-        return [b""] * ranges, memory
+        return [b""] * ranges, windows, memory
     rows = suffix_rows(text, place, starts[of], ends[of])
     which = (hashed * ranges) >> 40
     order = np.argsort(rows.reshape(-1).view(f"S{WIDTH}"), kind="stable")
@@ -265,7 +310,7 @@ def make_runs(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: np
     a, b = spans_of(place, starts[of], ends[of])
     gone = (doc > least[number]) & (b > a)
     mine = doc == least[number]
-    memory = {"number": number[mine].astype(np.int32), "place": place[mine].astype(np.int32), "a": a[gone].astype(np.int32), "b": b[gone].astype(np.int32)}
+    memory |= {"number": number[mine].astype(np.int32), "place": place[mine].astype(np.int32), "a": np.r_[memory["a"], a[gone].astype(np.int32)], "b": np.r_[memory["b"], b[gone].astype(np.int32)]}
     rows, lcp, which = rows[first], lcp[first], which[first]
     lcp[np.r_[True, which[1:] != which[:-1]]] = 0
     runs, edges = [], np.searchsorted(which, np.arange(ranges + 1))
@@ -276,7 +321,7 @@ def make_runs(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: np
         rest = rows[x:y][np.arange(WIDTH) >= lcp[x:y, None]]
         raw = np.array([y - x, x], "<i8").tobytes() + least[x:y].astype("<i8").tobytes() + lcp[x:y].astype(np.uint8).tobytes() + rest.tobytes()
         runs.append(np.array([len(raw)], "<i8").tobytes() + pa.Codec(_CODEC).compress(raw).to_pybytes())
-    return runs, memory
+    return runs, windows, memory
 
 
 # --- 3: merging ------------------------------------------------------------------------------
@@ -487,25 +532,43 @@ def apply_block(text: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndar
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, ranges: int | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT_CLASSES, texts: bool = False) -> DataFrame:
-    """One row per document with what is removed; with texts also ``spans`` (byte offsets) and ``kept`` (binary)."""
+SORTED = "range int, block long, payload binary, h1 long, h2 long, doc long, number int"
+
+
+def dedup(docs: DataFrame, ranges: int | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT_CLASSES, hot_anchors: int = HOT_ANCHORS, texts: bool = False) -> DataFrame:
+    """One row per document with what is removed; with texts also ``spans`` (byte offsets) and ``kept`` (binary).
+
+    docs should come from files: a recomputed partition must hold the same rows in the same order.
+    """
     spark = docs.sparkSession
     base = scratch(spark, "suffixes")
-    parts = ranges or max(4, docs.rdd.getNumPartitions())
+    parts = ranges or max(4, RANGES_PER_PART * docs.rdd.getNumPartitions())
     laid = _lay_blocks(docs, base, parts, block_bytes)
-    shared = laid.groupBy("range").applyInArrow(_shared_hashes, "block long, payload binary")
+    shared = laid.groupBy("range").applyInArrow(lambda t: _shared_hashes(t, hot_anchors), "block long, payload binary, often binary")
 
     def sort_block(key: tuple, table: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        found = [unpack_sorted(x) for x in table.column("payload").to_pylist()]
+        found, often = ([unpack_sorted(x) for x in table.column(c).to_pylist()] for c in ("payload", "often"))
         mine = _load(f"{base}/text", str(block))
-        runs, memory = make_runs(mine["text"], mine["lengths"], mine["ids"], np.sort(np.concatenate(found)), parts)
+        runs, windows, memory = make_runs(mine["text"], mine["lengths"], mine["ids"], np.sort(np.concatenate(found)), np.sort(np.concatenate(often)), parts)
         _save(f"{base}/memory", str(block), **memory)
-        rows = [(-1, block, None)] + [(r, block, x) for r, x in enumerate(runs) if x]
-        a, b, c = zip(*rows)
-        return pa.table({"range": pa.array(a, pa.int32()), "block": pa.array(b, pa.int64()), "payload": pa.array(c, pa.binary())})
-
-    runs = materialize(shared.groupBy("block").applyInArrow(sort_block, "range int, block long, payload binary"), "runs")
+        rows = [(-1, None)] + [(r, x) for r, x in enumerate(runs) if x]
+        n, w = len(rows), len(windows["h1"])
+        none = lambda k: pa.nulls(n, k)
+        own = lambda c, k: pa.concat_arrays([none(k), pa.array(windows[c], k)])
+        return pa.table(
+            {
+                "range": pa.array([r for r, _ in rows] + [-2] * w, pa.int32()),
+                "block": pa.array([block] * (n + w), pa.int64()),
+                "payload": pa.concat_arrays([pa.array([x for _, x in rows], pa.binary()), pa.nulls(w, pa.binary())]),
+                "h1": own("h1", pa.int64()),
+                "h2": own("h2", pa.int64()),
+                "doc": own("doc", pa.int64()),
+                "number": own("number", pa.int32()),
+            }
+        )
+
+    runs = materialize(shared.groupBy("block").applyInArrow(sort_block, SORTED), "runs")
 
     def merge_table(table: pa.Table) -> pa.Table:
         got = merge_range(table.column("block").to_pylist(), table.column("payload").to_pylist(), hot)
@@ -522,13 +585,18 @@ def dedup(docs: DataFrame, ranges: int | None = None, block_bytes: int = BLOCK_B
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in ANSWER.split(", ")])
 
-    answers = materialize(runs.where("range >= 0").groupBy("range").applyInArrow(merge_table, ANSWER), "answers")
+    answers = materialize(runs.where("range >= 0").select("range", "block", "payload").groupBy("range").applyInArrow(merge_table, ANSWER), "answers")
     replies = answers.where("digest is null").select("block", "number", "a", "b")
     windows = answers.where("digest is not null").select("block", "number", "digest", "doc", "j")
     if not windows.isEmpty():
         least = windows.groupBy("digest").agg(F.min("doc").alias("least"))
         late = windows.join(least, "digest").where("least < doc").select("block", "number", (-F.col("j")).cast("int").alias("a"), (LENGTH - F.col("j")).cast("int").alias("b"))
         replies = replies.unionByName(late)
+    # one row a block and window: a window's rows are as many as blocks that have it
+    around = runs.where("range = -2").select("h1", "h2", "doc", "block", "number")
+    least = around.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
+    late = around.join(least, ["h1", "h2"]).where("least < doc")
+    replies = replies.unionByName(late.select("block", (-2 - F.col("number")).cast("int").alias("number"), F.lit(0).alias("a"), F.lit(0).alias("b")))
     every = runs.where("range = -1").select("block", F.lit(-1).alias("number"), F.lit(0).alias("a"), F.lit(0).alias("b"))
     schema = RESULT + (", spans array<struct<`from`:long,`to`:long>>, kept binary" if texts else "")
 
@@ -536,11 +604,15 @@ def dedup(docs: DataFrame, ranges: int | None = None, block_bytes: int = BLOCK_B
         block = str(key[0].as_py())
         mine, memory = _load(f"{base}/text", block), _load(f"{base}/memory", block)
         number, a, b = (np.array(table.column(c), np.int64) for c in ("number", "a", "b"))
+        seen = np.zeros(len(memory["wnumber"]), bool)
+        asked = np.sort(-2 - number[number <= -2])
+        seen[_member(memory["wnumber"], asked)] = True
+        windows = memory["wplace"][seen].astype(np.int64)
         low, high = np.searchsorted(memory["number"], number, "left"), np.searchsorted(memory["number"], number, "right")
         times = np.where(number >= 0, high - low, 0)
         at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
         place = memory["place"][at].astype(np.int64)
-        a, b = np.r_[memory["a"], place + np.repeat(a, times)], np.r_[memory["b"], place + np.repeat(b, times)]
+        a, b = np.r_[memory["a"], windows, place + np.repeat(a, times)], np.r_[memory["b"], windows + LENGTH, place + np.repeat(b, times)]
         rows: list[tuple] = []
         for doc, (n, gone, count, spans, kept) in zip(mine["ids"].tolist(), apply_block(mine["text"], mine["lengths"], a, b)):
             row = (None if doc == NULL_ID else doc, n, gone, count, hashlib.sha256(kept).hexdigest())
