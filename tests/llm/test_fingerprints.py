@@ -91,6 +91,19 @@ def test_small_tables_do_peel(spark, make_docs):
         assert r.s == (want if cells == 12 else None)
 
 
+def test_every_rung_gives_the_same(make_docs):
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghij") for _ in range(9000)]
+    rows = [(0, "".join(base))]
+    for k in range(1, 30):
+        for _ in range(k):
+            base[rng.randrange(len(base))] = "#"
+        rows.append((k, "".join(base)))
+    got = {r.doc_id: r.near_next for r in fp.versions(make_docs(rows)).collect()}
+    for i in range(30):
+        assert abs(got[i] - likeness(rows[i][1], rows[(i + 1) % 30][1])) < 1e-9
+
+
 def test_ties_and_single(make_docs):
     r = fp.versions(make_docs([(1, "abcdefgh")])).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()

@@ -6,8 +6,8 @@ fills a table of cells (count, xor of digests, xor of their hashes): every diges
 each of three blocks of four. Tables of two versions subtract cell by cell, what they share cancels,
 and peeling (a cell with count +1 or -1 whose hash fits names a digest, which leaves its other
 cells) recovers the digests that differ. The first try uses the fingerprint's 12 cells; on failure
-eight tables, 96 cells, by three more digest bits (the small one is their sum); on failure again
-the digests themselves, which are then no larger than the next table would be. Likeness is the
+eight tables, 96 cells, by three more digest bits (the small one is their sum), then 64 tables; where that fails too,
+the digests themselves are compared, which are then no larger than the next table would be. Likeness is the
 share of both versions' characters in digests that they share.
 
 Everything is DataFrame functions. Documents are bucketed by quantiles of doc_id; the first
@@ -50,13 +50,21 @@ def _hit(key: str) -> str:
     return f"(shiftrightunsigned({key}, 8 + 2 * (i div 4)) & 3L) = i % 4"
 
 
-def subtables(ds: str) -> Column:
-    """The eight tables of a digest array column: array<array<cell>>."""
+def _cells(ds: str) -> str:
+    """The 12 cells of the digests in an array."""
     empty = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
-    own = f"filter({ds}, d -> (shiftrightunsigned(d, 40) & 7L) = s)"
     add = "(a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d, 'c', a.c ^ xxhash64(d))"
-    cells = f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter(mine, d -> {_hit('d')}), {empty}, {add}))"
-    return F.expr(f"transform(sequence(0, {SUBTABLES - 1}), s -> transform(array({own}), mine -> {cells})[0])")
+    return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({ds}, d -> {_hit('d')}), {empty}, {add}))"
+
+
+def _part(ds: str, bits: int) -> str:
+    """The digests of sub-table s of 2^bits."""
+    return f"filter({ds}, d -> (shiftrightunsigned(d, 40) & {2**bits - 1}L) = s)"
+
+
+def subtables(ds: str) -> Column:
+    """The eight tables of a digest array column: array<array<cell>>."""
+    return F.expr(f"transform(sequence(0, {SUBTABLES - 1}), s -> transform(array({_part(ds, 3)}), mine -> {_cells('mine')})[0])")
 
 
 def folded(tables: str) -> Column:
@@ -84,14 +92,18 @@ def peeled(cells: str) -> str:
 
 
 def differing(small_a: str, small_b: str, large_a: str, large_b: str, ds_a: str, ds_b: str) -> str:
-    """Weight of the digests in one version only: 12 cells, else 96 cells, else the digests."""
+    """Weight of the digests in one version only: by 12 cells, else 96, else 768, else from the digests.
+
+    Where none of the eight tables can be peeled, the versions differ in more than larger tables would hold, too.
+    """
     first = peeled(difference(small_a, small_b))
     pairs = f"zip_with({large_a}, {large_b}, (t, u) -> {difference('t', 'u')})"
-    # summing null makes the sum null; later tables are then not peeled
-    second = f"aggregate({pairs}, 0L, (a, t) -> if(a IS NULL, a, a + {peeled('t')}))"
+    mine = difference(_cells("ma"), _cells("mb"))
+    third = f"aggregate(sequence(0, {8 * SUBTABLES - 1}), 0L, (w, s) -> if(w IS NULL, w, w + transform(array({_part(ds_a, 6)}), ma -> transform(array({_part(ds_b, 6)}), mb -> {peeled(mine)})[0])[0]))"
+    tried = f"transform({pairs}, t -> {peeled('t')})"
+    second = f"transform(array({tried}), v -> CASE WHEN forall(v, x -> x IS NOT NULL) THEN aggregate(v, 0L, (w, x) -> w + x) WHEN exists(v, x -> x IS NOT NULL) THEN {third} END)[0]"
     last = f"{weight(f'array_except({ds_a}, {ds_b})')} + {weight(f'array_except({ds_b}, {ds_a})')}"
-    # more digests apart than cells: no table of that size can be peeled
-    return f"coalesce({first}, if(abs(size({ds_a}) - size({ds_b})) > {SUBTABLES * CELLS}, NULL, {second}), {last})"
+    return f"coalesce({first}, {second}, {last})"
 
 
 def likeness(differ: str, a: str, b: str) -> Column:
