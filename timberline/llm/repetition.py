@@ -25,8 +25,8 @@ from timberline.llm.common import WORD, documents, text_or_empty
 
 LEAST = 8
 MOST_COVERED = 0.35
-LONGEST = 0.25
-LONGEST_WORDS = 64
+LONGEST = 0.1
+LONGEST_WORDS = 40
 LEAST_WORDS = 50
 CHUNK_BYTES = 2_000_000
 
