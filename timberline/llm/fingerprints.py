@@ -94,14 +94,14 @@ def peeled(cells: str) -> str:
 def differing(small_a: str, small_b: str, large_a: str, large_b: str, ds_a: str, ds_b: str) -> str:
     """Weight of the digests in one version only: by 12 cells, else 96, else 768, else from the digests.
 
-    Where none of the eight tables can be peeled, the versions differ in more than larger tables would hold, too.
+    Where most of the eight tables can't be peeled, the versions share too little for larger ones to be smaller than the digests.
     """
     first = peeled(difference(small_a, small_b))
     pairs = f"zip_with({large_a}, {large_b}, (t, u) -> {difference('t', 'u')})"
     mine = difference(_cells("ma"), _cells("mb"))
     third = f"aggregate(sequence(0, {8 * SUBTABLES - 1}), 0L, (w, s) -> if(w IS NULL, w, w + transform(array({_part(ds_a, 6)}), ma -> transform(array({_part(ds_b, 6)}), mb -> {peeled(mine)})[0])[0]))"
     tried = f"transform({pairs}, t -> {peeled('t')})"
-    second = f"transform(array({tried}), v -> CASE WHEN forall(v, x -> x IS NOT NULL) THEN aggregate(v, 0L, (w, x) -> w + x) WHEN exists(v, x -> x IS NOT NULL) THEN {third} END)[0]"
+    second = f"transform(array({tried}), v -> CASE WHEN forall(v, x -> x IS NOT NULL) THEN aggregate(v, 0L, (w, x) -> w + x) WHEN size(filter(v, x -> x IS NOT NULL)) >= {SUBTABLES // 2} THEN {third} END)[0]"
     last = f"{weight(f'array_except({ds_a}, {ds_b})')} + {weight(f'array_except({ds_b}, {ds_a})')}"
     return f"coalesce({first}, {second}, {last})"
 
