@@ -118,7 +118,7 @@ add("f18_position", "pos=7 | fields event_id", "SELECT event_id FROM events WHER
 EVENTS = ["event_id", "user_id", "event_type", "value"]
 add("p1_where", "event_type=click | where value>100 OR user_id<3", "SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'click' AND (value > 100 OR user_id < 3)", columns=EVENTS)
 add("p1_where_table", "| stats count as n by user_id | where n>20", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 20")
-add("p2_eval", "| eval x = value * 2 + 1, y = x % 7, z = -y | fields event_id, x, y, z", "SELECT event_id, round(value * 2 + 1, 6) AS x, round(fmod(value * 2 + 1, 7), 6) AS y, round(-fmod(value * 2 + 1, 7), 6) AS z FROM events", columns=["event_id", "x", "y", "z"], digits=6)
+add("p2_eval", "| eval x = value * 2 + 1, y = x % 7, z = -y | fields event_id, x, y, z", "SELECT event_id, round(value * 2 + 1, 6) AS x, round(fmod(value * 2 + 1, 7), 6) AS y, round(-fmod(value * 2 + 1, 7), 6) + 0 AS z FROM events", columns=["event_id", "x", "y", "z"], digits=6)
 add("p2_eval_keeps_old", "| eval event_type = nosuch, value = tonumber(event_type) | fields event_id, event_type, value", "SELECT event_id, event_type, value FROM events", columns=["event_id", "event_type", "value"])
 add("p3_sort_head", "| sort -value, event_id | head 10", "SELECT event_id, user_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 10", columns=EVENTS)
 add("p4_head", "event_type=view | head 25", "SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'view' ORDER BY ts, event_id LIMIT 25", columns=EVENTS)
@@ -223,7 +223,7 @@ add("x_control", '| eval a = coalesce(nosuch, event_type), b = isnull(nosuch), c
 add("x_bits", "| eval a = bitand(user_id, 6), b = bitor(user_id, 9), c = bitxor(user_id, 5), d = bitnot(user_id), e = bitshl(user_id, 3), f = bitshr(user_id, 1), g = bitshl(user_id, 64) | fields event_id, a, b, c, d, e, f, g",
     "SELECT event_id, CAST(user_id & 6 AS DOUBLE) AS a, CAST(user_id | 9 AS DOUBLE) AS b, CAST(xor(user_id, 5) AS DOUBLE) AS c, CAST(-user_id - 1 AS DOUBLE) AS d, CAST(user_id << 3 AS DOUBLE) AS e, CAST(user_id >> 1 AS DOUBLE) AS f, 0.0::DOUBLE AS g FROM events", columns=["event_id", *"abcdefg"])
 add("x_arithmetic", "| eval a = value + user_id, b = value - 1, c = value * user_id, d = value / 4, e = value % 3, f = -value | fields event_id, a, b, c, d, e, f",
-    "SELECT event_id, round(value + user_id, 6) AS a, round(value - 1, 6) AS b, round(value * user_id, 6) AS c, round(value / 4, 6) AS d, round(fmod(value, 3), 6) AS e, round(-value, 6) AS f FROM events", columns=["event_id", *"abcdef"], digits=6)
+    "SELECT event_id, round(value + user_id, 6) AS a, round(value - 1, 6) AS b, round(value * user_id, 6) AS c, round(value / 4, 6) AS d, round(fmod(value, 3), 6) AS e, round(-value, 6) + 0 AS f FROM events", columns=["event_id", *"abcdef"], digits=6)
 
 # --- order, union, pages, context --------------------------------------------------------
 

@@ -120,7 +120,7 @@ def _compare_typed(frame: Frame, column: str, op: str, value: str) -> Column:
     return _ordered(op, c, F.lit(int(n) if whole else n))
 
 
-def _instant(column: str, op: str, value: str) -> Column:
+def _instant(column: str, kind: T.DataType, op: str, value: str) -> Column:
     """Instants: equality within the literal's precision; inequality never holds."""
     if op == "!=":
         return F.lit(False)
@@ -128,13 +128,13 @@ def _instant(column: str, op: str, value: str) -> Column:
         at = instant(value)
     except QueryError:
         return F.lit(False)
-    c = F.col(column).cast("timestamp")
+    c, literal = F.col(column), lambda t: F.lit(t).cast("timestamp").cast(kind)
     if op != "=":
-        return _ordered(op, c, F.lit(at).cast("timestamp"))
+        return _ordered(op, c, literal(at))
     digits = len(m[1]) if (m := re.search(r"\.(\d+)", value)) else 0
     step = timedelta(seconds=1) if digits == 0 else timedelta(milliseconds=1) if digits <= 3 else timedelta(microseconds=1)
     floor = at - (at - datetime(1970, 1, 1, tzinfo=at.tzinfo)) % step
-    return (c >= F.lit(floor).cast("timestamp")) & (c < F.lit(floor + step).cast("timestamp"))
+    return (c >= literal(floor)) & (c < literal(floor + step))
 
 
 def _any_pair(frame: Frame, test: Callable[[Column, Column], Column], paths: bool = True) -> list[Column]:
@@ -200,7 +200,7 @@ def _first_class(name: str, f: A.Compare, frame: Frame) -> Column:
     elif isinstance(f.value, A.Glob):
         here = frame.column(name).text().rlike(glob_regex(f.value.text))
     elif name in INSTANTS:
-        here = _instant(name, f.op, f.value)
+        here = _instant(name, frame.df.schema[name].dataType, f.op, f.value)
     else:
         here = _compare_typed(frame, name, f.op, f.value)
     rest = _any_pair(frame, lambda k, v: (k == name) & (F.lit(True) if f.value is None else v.rlike(glob_regex(f.value.text)) if isinstance(f.value, A.Glob) else compare_text(v, f.op, f.value)))

@@ -44,7 +44,9 @@ class Records:
 
 def promote(df: DataFrame, ts: str, seq: str | None = None, raw: str | None = None, extract: str = "none", vault: str = "main", source_ts: str | None = None, drop: tuple[str, ...] = ()) -> Records:
     """A plain table as records: ts is ingest and write time, every other column a promoted attribute."""
-    instant = lambda c: F.col(c).cast("timestamp")
+    kinds = dict(df.dtypes)
+    # instants keep their type: a cast would keep time bounds from the scan
+    instant = lambda c: F.col(c) if kinds[c].startswith("timestamp") else F.col(c).cast("timestamp")
     taken = {ts, raw, *drop}
     plain = {c: f"a_{c}" for c in df.columns if c not in taken}
     columns: list[Column] = [F.lit(vault).alias("vault_id"), instant(ts).alias("ingest_ts"), instant(ts).alias("write_ts")]
