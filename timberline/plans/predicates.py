@@ -220,7 +220,10 @@ def compile_filter(f: object, frame: Frame) -> Column:
             if not (frame.records and frame.has("raw")):
                 return F.lit(False)
             words = F.concat(tokens(F.col("raw")), F.split("raw", r"[ \t\n\r]+"))
-            return F.exists(words, lambda w: w.rlike(glob_regex(g.text)))
+            found = F.exists(words, lambda w: w.rlike(glob_regex(g.text)))
+            # messages without the glob's longest literal part need not be cut into words
+            part = max(re.split(r"[*?]|\[[^\]]*\]", g.text), key=len)
+            return F.col("raw").rlike(rf"(?isu)\Q{part}\E") & found if part else found
         case A.Regex(p):
             return F.col("raw").rlike(f"(?i){p}") if frame.records and frame.has("raw") else F.lit(False)
         case A.Compare():
