@@ -93,3 +93,13 @@ def test_no_links_and_empty(spark):
     assert uf.filter_urls(df.limit(0)).count() == 0
     clash = df.withColumns({"host": uf.F.lit(1), "rule": uf.F.lit(2)})
     assert uf.filter_urls(clash).columns == ["page_id", "url", "host", "rule", "url_filter"]
+
+
+def test_many_hosts_that_link_to_one_blocked(spark):
+    link = '<a href="http://hub.net/">x</a>'
+    rows = [(0, "http://hub.net/", None)] + [(i, f"http://h{i}.test/", link) for i in range(1, 51)]
+    rows += [(60, "http://portal.test/", link + "".join(f'<a href="http://o{i}.test/">x</a>' for i in range(30)))]
+    found = {r.page_id: r.url_filter for r in uf.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {found[i].verdict for i in range(51)} == {"block"}
+    assert found[60].verdict == "allow"
+    assert 0 < found[1].distrust < uf.FLOOR

@@ -3,7 +3,10 @@
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest
 wins. Pages without a rule get their host's verdict: trust spreads from hosts with allowed pages by
 personalised PageRank along host links, distrust from hosts that a rule blocks whole, along reversed
-links; a host is blocked if its distrust exceeds both a floor and its trust.
+links; a host is blocked if its distrust exceeds both a floor and its trust. Distrust is split over all
+hosts that link to one, so exposure stands in for the floor: the same rounds, but a host takes of each host that it links to
+by the share of its own links, however many others link there, and blocked hosts keep theirs. It is 1 for a blocked
+host, 0.85 if all links go to such, 0.72 two links away; above ``REACH`` the distrust needs no floor.
 
 All of it is DataFrame functions. Links are counted per pair of hosts before they are
 shuffled, so a host with a third of all pages is one row a target; rank rounds move one row
@@ -25,6 +28,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DAMPING = 0.85
 ROUNDS = 12
 FLOOR = 0.02
+REACH = 0.72
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -58,11 +62,14 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: (host, rank) over seeds (host) and links (src, dst, n); a lone seed has 1 - damping."""
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, per: str = "src") -> DataFrame:
+    """Personalised PageRank: (host, rank) over seeds (host) and links (src, dst, n); a lone seed has 1 - damping.
+
+    A link's share is of all links of its src, or with ``per`` of its dst.
+    """
     start = materialize(seeds.select("host", F.lit(1 - damping).alias("rank")), "seeds")
-    total = links.groupBy("src").agg(F.sum("n").alias("all"))
-    share = materialize(links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+    total = links.groupBy(per).agg(F.sum("n").alias("all"))
+    share = materialize(links.join(total, per).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     rank = start
     for k in range(rounds):
         moved = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
@@ -73,7 +80,7 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
 
 
 def host_scores(judged: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust from judged (host, found) and host links."""
+    """host, trust, distrust, exposure from judged (host, found) and host links."""
     hosts = judged.where("host <> ''").groupBy("host").agg(
         F.max(F.when((F.col("found.verdict") == "block") & F.col("found.whole"), 1).otherwise(0)).alias("blocked"),
         F.max(F.when(F.col("found.verdict") == "allow", 1).otherwise(0)).alias("allowed"),
@@ -83,11 +90,16 @@ def host_scores(judged: DataFrame, links: DataFrame, rounds: int = ROUNDS, dampi
     trusted, blocked = hosts.where("allowed = 1 and blocked = 0").select("host"), hosts.where("blocked = 1").select("host")
     if links.isEmpty():
         trust, distrust = (x.select("host", F.lit(1 - damping).alias("rank")) for x in (trusted, blocked))
+        exposure = blocked.select("host", F.lit(1.0).alias("rank"))
     else:
+        back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
         trust = propagate(trusted, links, rounds, damping)
-        distrust = propagate(blocked, links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), rounds, damping)
-    both = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
-    return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        distrust = propagate(blocked, back, rounds, damping)
+        kept = back.join(blocked.select(F.col("host").alias("dst")), "dst", "left_anti").select("src", "dst", "n")
+        exposure = propagate(blocked, kept, rounds, damping, "dst").select("host", (F.col("rank") / (1 - damping)).alias("rank"))
+    names = ("trust", "distrust", "exposure")
+    parts = [x.select("host", *[(F.col("rank") if n == name else F.lit(0.0)).alias(n) for n in names]) for name, x in zip(names, (trust, distrust, exposure))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("host").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", floor: float = FLOOR, rounds: int = ROUNDS) -> DataFrame:
@@ -96,8 +108,8 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "ht
     mine = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     mine = mine.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     scores = host_scores(mine.select("host", "found"), host_links(pages, url, html), rounds)
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_host = F.when((distrust > floor) & (distrust > trust), "block").otherwise("allow")
+    trust, distrust, exposure = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust", "exposure"))
+    by_host = F.when(((distrust > floor) | (exposure > REACH)) & (distrust > trust), "block").otherwise("allow")
     out = mine.join(scores, "host", "left").withColumn("verdict", F.coalesce("found.verdict", by_host))
     result = F.struct("host", "path", F.col("found.rule").alias("rule"), "verdict", trust.alias("trust"), distrust.alias("distrust"))
     return out.select("row.*", result.alias("url_filter"))
