@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -38,7 +39,11 @@ def follow(records: Records, text: str, lookups: dict[str, Lookup] | None = None
 
 
 def dedup_stream(df: DataFrame, window: str | None = None) -> DataFrame:
-    """dedup over a stream: per identity the write time last kept, forgotten when idle for a while."""
+    """dedup over a stream: per identity the write time last kept, forgotten when idle for a while.
+
+    Idleness is measured by a watermark over batch times: no record is late for it, and unlike a
+    processing-time timeout it needs no batches without data, so a run over what there is comes to an end.
+    """
     try:
         width = int(duration(window).total_seconds() * 1e6) if window else 1_000_000
     except QueryError:
@@ -60,17 +65,27 @@ def dedup_stream(df: DataFrame, window: str | None = None) -> DataFrame:
             if keep[-1]:
                 kept = us
         state.update((kept,))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(part["__seen"].max().timestamp() * 1000) + idle_ms)
         out = part[keep]
         yield out[[f.name for f in schema.fields]]
 
-    grouped = df.withColumns(keys).groupBy(*keys)
-    return grouped.applyInPandasWithState(fold, schema, T.StructType([T.StructField("kept", T.LongType())]), "append", "ProcessingTimeTimeout")
+    seen = df.withColumn("__seen", F.current_timestamp()).withWatermark("__seen", "0 seconds")
+    grouped = seen.withColumns(keys).groupBy(*keys)
+    return grouped.applyInPandasWithState(fold, schema, T.StructType([T.StructField("kept", T.LongType())]), "append", "EventTimeTimeout")
 
 
 def ingest(df: DataFrame, routes: list, path: str, checkpoint: str, once: bool = True):
-    """Write a record stream into the vaults that its routes name; returns the running query."""
-    from timberline.sources.sinks import route, vault
+    """Write a record stream into the vaults that its routes name; returns the running query.
+
+    A batch that is run again replaces what it wrote before: its files bear the stream's and the batch's names.
+    The last batch's numbers of records taken and of records without a vault are in ``ingested``.
+    """
+    from timberline.sources.sinks import vault_batch
 
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: vault(route(batch, routes), path))
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: ingested.update(vault_batch(batch, routes, path, f"{stream}-{number}")))
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+#: of the last batch in this process: records, and those that went to no vault
+ingested: dict[str, int] = {"records": 0, "unrouted": 0}
