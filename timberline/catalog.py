@@ -273,5 +273,6 @@ add_function("m14_retention", expired, """
 WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS chunk_id, max(o_orderdate) AS e, count(*) * 100 AS bytes FROM orders GROUP BY 1),
 r AS (SELECT *, sum(bytes) OVER (ORDER BY e DESC, chunk_id) AS b, row_number() OVER (ORDER BY e DESC, chunk_id) AS n FROM c)
 SELECT chunk_id, bytes FROM r WHERE b > 50000 OR n > 40 OR e < TIMESTAMP '2024-01-01' - INTERVAL 14600 DAY""")
-add_function("k3_json_lines", lambda s, d: sinks.lines(sinks.json_rows(start(events(s, d, raw=True), False).df), "json"), None)
 add_function("p21_chart", lambda s, d: s.createDataFrame([(api.search(events(s, d), "| stats count by event_type").chart(),)], "chart string"), "SELECT CASE WHEN count(DISTINCT event_type) BETWEEN 2 AND 12 THEN 'donut' ELSE 'table' END AS chart FROM events")
+
+from timberline import catalog_io as _  # noqa: E402, F401

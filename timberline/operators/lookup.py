@@ -1,7 +1,7 @@
 """lookup: left-outer enrichment by tables, address ranges or functions.
 
-Tables join by key; a side is broadcast only if its counted rows are few. Ranges join by the
-address' leading bits, so that no join is by inequality alone.
+Tables join by key, without a hint: Spark broadcasts a side by its size in bytes, as planned or as measured while
+the query runs, and splits skewed keys. Ranges join by the address' leading bits, so that no join is by inequality alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from timberline.lang import ast as A
 from timberline.plans.frame import Frame
 
-BROADCAST_ROWS = 500_000
 PREFIX_BITS = 16
 
 
@@ -29,6 +28,8 @@ class Table:
     keys: tuple[str, ...]
     values: tuple[str, ...]
     unique: bool = False
+    #: columns of df that order its rows
+    order: tuple[str, ...] = ()
 
     @property
     def suffixes(self) -> tuple[str, ...]:
@@ -37,7 +38,7 @@ class Table:
     def rows(self) -> DataFrame:
         if self.unique:
             return self.df.select(*self.keys, *self.values)
-        numbered = self.df.withColumn("__n", F.monotonically_increasing_id())
+        numbered = self.df.withColumn("__n", F.struct(*self.order, F.monotonically_increasing_id().alias("__id")))
         first = numbered.groupBy(*self.keys).agg(F.min_by(F.struct(*self.values), "__n").alias("v"))
         return first.select(*self.keys, "v.*")
 
@@ -62,6 +63,7 @@ class Function:
 
     run: Callable[..., pd.DataFrame]
     suffixes: tuple[str, ...]
+    parameters: int = 1
 
 
 Lookup = Table | Ranges | Function
@@ -77,11 +79,6 @@ def ipv4(text: Column) -> Column:
     return F.when(fits, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _join_table(frame: Frame, table: Table, names: tuple[str, ...], prefix: str) -> Frame:
     rows = table.rows()
     side = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(table.keys)], *[F.col(v).alias(f"__v{i}") for i, v in enumerate(table.values)])
@@ -91,7 +88,7 @@ def _join_table(frame: Frame, table: Table, names: tuple[str, ...], prefix: str)
         typed = value.numeric and isinstance(rows.schema[table.keys[i]].dataType, T.NumericType)
         same = value.column == key if typed else value.text() == Frame(side, "table", {}).column(f"__k{i}").text()
         on = same if on is None else on & same
-    df = frame.df.join(_small(side), on, "left").drop(*[f"__k{i}" for i in range(len(table.keys))])
+    df = frame.df.join(side, on, "left").drop(*[f"__k{i}" for i in range(len(table.keys))])
     return _named(frame.with_df(df), table.values, [f"__v{i}" for i in range(len(table.values))], prefix)
 
 
@@ -105,7 +102,7 @@ def _join_ranges(frame: Frame, ranges: Ranges, name: str, prefix: str) -> Frame:
     side = side.withColumn("__p", F.explode(F.sequence(F.shiftright("__lo", shift), F.shiftright("__hi", shift))))
     df = frame.df.withColumn("__ip", ipv4(frame.value(name).text()))
     on = (F.shiftright("__ip", shift) == F.col("__p")) & F.col("__ip").between(F.col("__lo"), F.col("__hi"))
-    df = df.join(_small(side), on, "left").drop("__ip", "__lo", "__hi", "__p")
+    df = df.join(side, on, "left").drop("__ip", "__lo", "__hi", "__p")
     return _named(frame.with_df(df), ranges.values, [f"__v{i}" for i in range(len(ranges.values))], prefix)
 
 
@@ -137,8 +134,14 @@ def _named(frame: Frame, suffixes: tuple[str, ...], columns: list[str], prefix:
 def lookup(frame: Frame, op: A.Lookup, registry: dict[str, Lookup]) -> Frame:
     """An unknown table changes nothing. One-parameter tables run for each field in turn."""
     found = registry.get(op.table)
+    if found is None:
+        from timberline.sources.lookups import built_in
+
+        found = built_in().get(op.table)
     if found is None:
         return frame
+    if isinstance(found, Function) and found.parameters > 1:
+        return _call(frame, found, op.fields, op.table) if len(op.fields) == found.parameters else frame
     several = isinstance(found, Table) and len(found.keys) > 1
     if several:
         if len(op.fields) != len(found.keys):

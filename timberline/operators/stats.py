@@ -45,27 +45,35 @@ def instant_us(frame: Frame, name: str | None) -> Column:
     return seconds if value.numeric else F.coalesce(seconds, F.unix_micros(F.try_to_timestamp(value.text())))
 
 
-def order_key(frame: Frame, groups: list[str]) -> tuple[DataFrame, Column]:
-    """df and a column that orders rows as the frame does, for min_by and max_by."""
-    if not any(o.descending for o in frame.order):
-        return frame.df, F.struct(*[F.col(f"`{o.column}`") for o in frame.order]) if frame.order else F.lit(0)
-    w = Window.partitionBy(*[F.col(g) for g in groups]).orderBy(*[o.key() for o in frame.order]) if groups else None
-    if w is None:
-        flipped = []
-        for o in frame.order:
-            kind, c = frame.df.schema[o.column].dataType, F.col(f"`{o.column}`")
-            if not o.descending:
-                flipped.append(c)
-            elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-                flipped.append(-F.unix_micros(c.cast("timestamp")))
-            elif isinstance(kind, T.NumericType):
-                flipped.append(-c)
-            else:
-                # a total order of mixed values can't be negated: rank it
-                ranked = frame.df.withColumn("__rank", F.row_number().over(Window.orderBy(*[x.key() for x in frame.order])))
-                return ranked, F.col("__rank")
-        return frame.df, F.struct(*flipped)
-    return frame.df.withColumn("__rank", F.row_number().over(w)), F.col("__rank")
+def reversed_key(c: Column, kind: T.DataType) -> list[Column]:
+    """Columns whose ascending order is c's descending one, nulls last as in Order."""
+    rest: list[Column]
+    match kind:
+        case T.StructType():
+            rest = [x for f in kind.fields for x in reversed_key(c[f.name], f.dataType)]
+        case T.TimestampType() | T.TimestampNTZType():
+            rest = [F.bitwise_not(F.unix_micros(c.cast("timestamp")))]
+        case T.DoubleType() | T.FloatType():
+            rest = [~F.isnan(c), -c]
+        case T.DecimalType():
+            rest = [-c]
+        case T.IntegralType():
+            rest = [F.bitwise_not(c)]
+        case _:
+            # inverted bytes with an end mark above all of them: a longer text comes before its beginning
+            rest = [F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    return [c.isNull(), *rest]
+
+
+def order_key(frame: Frame) -> Column:
+    """A value that orders rows as the frame does, for min_by and max_by; no row is numbered for it."""
+    if not frame.order:
+        return F.lit(0)
+    parts = []
+    for o in frame.order:
+        c = F.col(f"`{o.column}`")
+        parts += reversed_key(c, frame.df.schema[o.column].dataType) if o.descending else [c]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(parts)])
 
 
 def _aggregate(a: A.Aggregate, value: Value | None, order: Column) -> Column:
@@ -112,7 +120,7 @@ def stats(frame: Frame, op: A.Stats, start: datetime | None = None, end: datetim
     args = [compile_expression(a.arg, frame) if a.arg is not None else None for a in op.aggregates]
     order: Column = F.lit(0)
     if any(a.func in ("first", "last", "values") for a in op.aggregates):
-        df, order = order_key(frame, groups)
+        order = order_key(frame)
     plain = [_aggregate(a, v, order).alias(a.alias) for a, v in zip(op.aggregates, args) if a.func != "values"]
     out = df.groupBy(*groups).agg(*plain) if plain else None
     for a, v in zip(op.aggregates, args):

@@ -133,32 +133,41 @@ def fields(frame: Frame, op: A.Fields) -> Frame:
 def dedup(frame: Frame, op: A.Dedup) -> Frame:
     """Of records with one identity, drop those written at most a window after the last kept one.
 
-    Identities are compared null-safe. A record's fate hangs on the last one kept, hence a fold over each
-    identity's write times (as many as an event has copies), not over rows: the fold names the ranks to keep.
+    Identities are compared null-safe. A record later than all before it by more than the window is kept and
+    starts a chain; what is within the window of its chain's start is dropped. Both take running aggregates only. Others
+    (retries that go on for longer than the window) hang on the last one kept: they alone are folded, chain by chain.
     """
     try:
         window = max(int(duration(op.window).total_seconds() * 1e6), 0) if op.window else 1_000_000
     except QueryError:
         window = 1_000_000
     window = window or 1_000_000
-    df = frame.df
-    identity = [c for c in ("ingester_id", "node_id", "ingest_ts", "ingest_seq") if c in df.columns]
+    identity = [c for c in ("ingester_id", "node_id", "ingest_ts", "ingest_seq") if c in frame.df.columns]
     order = Window.partitionBy(*identity).orderBy(*[o.key() for o in frame.order], F.col("write_ts"))
-    df = df.withColumn("__rank", F.row_number().over(order)).withColumn("__us", F.unix_micros(F.col("write_ts").cast("timestamp")))
-    # most events have one copy; only the others are folded
-    copies = F.collect_list("__us").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = frame.df.withColumn("__us", F.unix_micros(F.col("write_ts").cast("timestamp")))
+    here, past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max("__us").over(past)
+    df = df.withColumn("__first", top.isNull() | (F.col("__us") - top > window))
+    df = df.withColumn("__from", F.last(F.when(F.col("__first"), F.col("__us")), ignorenulls=True).over(here))
+    df = df.withColumn("__open", ~F.col("__first") & (F.col("__us") - F.col("__from") > window))
+    df = df.where("__first OR __open").withColumn("__chain", F.sum(F.col("__first").cast("bigint")).over(here))
+    # an array over first and open records of a chain: one record, but for chains with open ones
+    chain = Window.partitionBy(*identity, "__chain").orderBy(*[o.key() for o in frame.order], F.col("write_ts"))
     last = F.aggregate(
-        copies,
+        F.collect_list("__us").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         F.struct(F.lit(None).cast("bigint").alias("kept"), F.lit(True).alias("keep")),
         lambda s, x: F.struct(
             F.when(s["kept"].isNull() | (x - s["kept"] > window), x).otherwise(s["kept"]).alias("kept"),
             (s["kept"].isNull() | (x - s["kept"] > window)).alias("keep"),
         ),
     )
-    df = df.withColumn("__keep", last["keep"]).where("__keep").drop("__rank", "__us", "__keep")
+    df = df.withColumn("__keep", last["keep"]).where("__keep").drop("__us", "__first", "__from", "__open", "__chain", "__keep")
     return frame.with_df(df)
 
 
+MOST_COLUMNS = 5_000
+
+
 def raw_table(frame: Frame) -> Frame:
     """A flat table: times, all fields in name order, raw. Open fields take a job that lists their names."""
     times = [c for c in ("write_ts", "ingest_ts", "source_ts") if frame.has(c)]
@@ -170,7 +179,9 @@ def raw_table(frame: Frame) -> Frame:
         if frame.has("pairs"):
             found.append(frame.df.select(F.explode("pairs").alias("p")).where("p.s < 2").select(F.col("p.k").alias("k")))
         for keys in found:
-            names |= {r["k"] for r in keys.distinct().collect()}
+            names |= {r["k"] for r in keys.distinct().limit(MOST_COLUMNS + 1).collect()}
+        if len(names) > MOST_COLUMNS:
+            raise QueryError(f"more than {MOST_COLUMNS} fields can't be columns of a table: name those wanted with fields")
     names -= frame.hidden | set(INSTANTS) | {"raw"}
     columns = [F.col(c).alias(c) for c in times]
     for n in sorted(names):

@@ -76,3 +76,16 @@ def vault_metrics(records: DataFrame) -> DataFrame:
     sizes = records.groupBy("vault_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw")).alias("bytes"))
     raw = F.concat(F.lit("record_count="), F.col("n").cast("string"), F.lit(" data_bytes="), F.coalesce("bytes", F.lit(0)).cast("string"))
     return standard(sizes, raw, _attrs(metric_type=F.lit("vault"), vault_id=F.col("vault_id"), level=F.lit("info")), ingester="metrics")
+
+
+def system_metrics(spark: SparkSession) -> DataFrame:
+    """One k=v record per executor (and driver) about its memory, as the block manager knows it."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    found, names = [], status.keysIterator()
+    while names.hasNext():
+        name = names.next()
+        most, free = status.apply(name)._1(), status.apply(name)._2()
+        found.append((name, most, most - free))
+    df = spark.createDataFrame(found, "executor string, most long, used long")
+    raw = F.concat(F.lit("memory_max_bytes="), F.col("most").cast("string"), F.lit(" memory_used_bytes="), F.col("used").cast("string"))
+    return standard(df, raw, _attrs(metric_type=F.lit("system"), executor=F.col("executor"), level=F.lit("info")), ingester="metrics")

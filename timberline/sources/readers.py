@@ -9,19 +9,31 @@ through a ``Decoder`` over framed binary files, which is what their brokers and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.values import render_number
 from timberline.sources.records import SCHEMA
 
 FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
 SEVERITIES = "emerg alert crit err warning notice info debug".split()
 PUSH = "streams array<struct<stream:map<string,string>,values:array<array<string>>>>"
-OTLP_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+OTLP_DEPTH = 1
+
+
+def _otlp_type(depth: int = OTLP_DEPTH) -> str:
+    """An attribute value; lists nest so deep, what is deeper stays JSON text (each level multiplies the expression's size)."""
+    inner = _otlp_type(depth - 1) if depth else ""
+    lists = f"arrayValue:struct<values:array<{inner}>>,kvlistValue:struct<values:array<struct<key:string,value:{inner}>>>" if depth else "arrayValue:string,kvlistValue:string"
+    return f"struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,{lists}>"
+
+
+OTLP_VALUE = _otlp_type()
 OTLP_ATTRS = f"array<struct<key:string,value:{OTLP_VALUE}>>"
-OTLP = f"resourceLogs array<struct<resource:struct<attributes:{OTLP_ATTRS}>,scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{OTLP_VALUE},attributes:{OTLP_ATTRS},traceId:string,spanId:string>>>>>>"
+OTLP = f"resourceLogs array<struct<resource:struct<attributes:{OTLP_ATTRS}>,scopeLogs:array<struct<scope:struct<name:string,version:string,attributes:{OTLP_ATTRS}>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{OTLP_VALUE},attributes:{OTLP_ATTRS},traceId:string,spanId:string>>>>>>"
 
 
 def _read(spark: SparkSession, stream: bool):
@@ -34,13 +46,20 @@ def _attrs(**columns: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def sequence_number(stream: bool) -> Column:
+    """A number that no other row of the batch has: part of a record's identity. Streams take the high half of a random UUID."""
+    if not stream:
+        return F.monotonically_increasing_id()
+    return F.conv(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 15), 16, 10).cast("bigint")
+
+
 def standard(df: DataFrame, raw: Column, attrs: Column, source_ts: Column | None = None, ingester: str = "", vault: str = "main", now: Column | None = None) -> DataFrame:
     """The standard columns; ingest and write time are the query's time unless given."""
     now = now if now is not None else F.current_timestamp()
     none = F.lit(None).cast("timestamp")
     values = {
         "vault_id": F.lit(vault), "source_ts": source_ts if source_ts is not None else none, "ingest_ts": now, "write_ts": now, "ingester_id": F.lit(ingester or None),
-        "node_id": F.lit(None), "ingest_seq": F.lit(0) if df.isStreaming else F.monotonically_increasing_id(), "attrs": attrs, "raw": raw,
+        "node_id": F.lit(None), "ingest_seq": sequence_number(df.isStreaming), "attrs": attrs, "raw": raw,
     }
     return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
 
@@ -83,9 +102,9 @@ def _nanos(text: Column) -> Column:
     return F.timestamp_micros(F.floor(text.try_cast("decimal(20,0)") / 1000).cast("bigint"))
 
 
-def push_json(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
-    """Push-API bodies: streams of labels and [time in ns, line, metadata] entries."""
-    df = _read(spark, stream).schema(PUSH).option("multiLine", True).json(path)
+def push_json(spark: SparkSession, path: str, stream: bool = False, multi_line: bool = True, **options) -> DataFrame:
+    """Push-API bodies, one a file (or a line): streams of labels and [time in ns, line, metadata] entries."""
+    df = _read(spark, stream).schema(PUSH).option("multiLine", multi_line).json(path)
     one = df.select(F.explode("streams").alias("s")).select(F.col("s.stream").alias("labels"), F.explode("s.values").alias("v"))
     meta = F.when(F.size("v") > 2, F.from_json(F.element_at("v", 3), "map<string,string>"))
     empty = F.create_map().cast("map<string,string>")
@@ -94,38 +113,82 @@ def push_json(spark: SparkSession, path: str, stream: bool = False, **options) -
     return standard(one, F.element_at("v", 2), attrs, _nanos(F.element_at("v", 1)), "http", **options)
 
 
-def _otlp_text(v: Column) -> Column:
-    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+def _otlp_text(v: Column, depth: int = OTLP_DEPTH) -> Column:
+    """A value's text: scalars as they are, bytes in hex, lists and key-value lists as JSON of their texts (keys sorted)."""
+    plain = [v["stringValue"], v["intValue"], render_number(v["doubleValue"]), v["boolValue"].cast("string"), F.lower(F.hex(F.try_to_binary(v["bytesValue"], F.lit("base64"))))]
+    if not depth:
+        return F.coalesce(*plain, v["arrayValue"], v["kvlistValue"])
+    none = F.lit("")
+    items = F.transform(v["arrayValue"]["values"], lambda x: F.coalesce(_otlp_text(x, depth - 1), none))
+    entries = F.transform(v["kvlistValue"]["values"], lambda e: F.struct(e["key"].alias("key"), F.coalesce(_otlp_text(e["value"], depth - 1), none).alias("value")))
+    both = F.when(v["arrayValue"].isNotNull(), F.coalesce(F.to_json(items), F.lit("[]")))
+    listed = F.when(v["kvlistValue"].isNotNull(), F.coalesce(F.to_json(F.map_from_entries(F.array_sort(_last_wins(entries)))), F.lit("{}")))
+    return F.coalesce(*plain, both, listed)
+
+
+def _last_wins(entries: Column) -> Column:
+    """Entries (key, value) without those whose key comes again."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
 
 
 def _otlp_entries(attributes: Column) -> Column:
     return F.transform(F.coalesce(attributes, F.array().cast(OTLP_ATTRS)), lambda a: F.struct(a["key"].alias("key"), _otlp_text(a["value"]).alias("value")))
 
 
-def otlp_json(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
-    """OTLP log exports as JSON; later attributes win: resource, scope, record."""
-    df = _read(spark, stream).schema(OTLP).option("multiLine", True).json(path)
+def _nanos_text(nanos: Column) -> Column:
+    """Nanoseconds since 1970 as RFC 3339 text in UTC, with as many digits as needed; null if 0."""
+    n = nanos.try_cast("bigint")
+    second = F.to_utc_timestamp(F.timestamp_seconds(F.floor(n / 1_000_000_000)), F.current_timezone())
+    digits = F.regexp_replace(F.lpad(F.pmod(n, F.lit(1_000_000_000)).cast("string"), 9, "0"), r"0+\z", "")
+    return F.when(n != 0, F.concat(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z")))
+
+
+def otlp_json(spark: SparkSession, path: str, stream: bool = False, multi_line: bool = True, **options) -> DataFrame:
+    """OTLP log exports as JSON, one a file (or a line); later attributes win: resource, scope, record. The observed time stands in for a record's own."""
+    df = _read(spark, stream).schema(OTLP).option("multiLine", multi_line).json(path)
     one = df.select(F.explode("resourceLogs").alias("r")).select("r", F.explode("r.scopeLogs").alias("s")).select("r", "s", F.explode("s.logRecords").alias("l"))
+    given = lambda c: F.nullif(c, F.lit(""))
     own = F.array(*[F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in {
-        "severity": F.col("l.severityText"), "severity_number": F.col("l.severityNumber"), "trace_id": F.col("l.traceId"), "span_id": F.col("l.spanId"),
-        "time_unix_nano": F.col("l.timeUnixNano"), "observed_ts": F.col("l.observedTimeUnixNano"), "scope_name": F.col("s.scope.name"),
+        "severity": given(F.col("l.severityText")), "severity_number": F.nullif(F.col("l.severityNumber"), F.lit(0)), "trace_id": given(F.col("l.traceId")), "span_id": given(F.col("l.spanId")),
+        "time_unix_nano": _nanos_text(F.col("l.timeUnixNano")), "observed_ts": _nanos_text(F.col("l.observedTimeUnixNano")), "scope_name": given(F.col("s.scope.name")), "ingester_type": F.lit("otlp"),
     }.items()])
-    entries = F.filter(F.concat(_otlp_entries(F.col("r.resource.attributes")), _otlp_entries(F.col("l.attributes")), own), lambda e: e["value"].isNotNull())
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
-    return standard(one, _otlp_text(F.col("l.body")), F.map_from_entries(last), _nanos(F.col("l.timeUnixNano")), "otlp", **options)
+    entries = F.filter(F.concat(_otlp_entries(F.col("r.resource.attributes")), _otlp_entries(F.col("s.scope.attributes")), _otlp_entries(F.col("l.attributes")), own), lambda e: e["value"].isNotNull())
+    when = F.coalesce(F.nullif(F.col("l.timeUnixNano"), F.lit("0")), F.nullif(F.col("l.observedTimeUnixNano"), F.lit("0")))
+    return standard(one, F.coalesce(_otlp_text(F.col("l.body")), F.lit("")), F.map_from_entries(_last_wins(entries)), _nanos(when), "otlp", **options)
 
 
-def container_json(spark: SparkSession, path: str, name: str = "", image: str = "", stream: bool = False, **options) -> DataFrame:
-    """Container runtime logs: {"log", "stream", "time"} a line."""
+def container_json(spark: SparkSession, path: str, name: str = "", image: str = "", stream: bool = False, containers: DataFrame | None = None, **options) -> DataFrame:
+    """Container runtime logs: {"log", "stream", "time"} a line.
+
+    A file is named for its container's id; ``containers`` (container_id, name, image), say from the runtime's
+    inspect output, names them. Else name and image are those given.
+    """
     df = _read(spark, stream).schema("log string, stream string, time string").json(path)
-    attrs = _attrs(stream=F.col("stream"), container_name=F.lit(name or None), image=F.lit(image or None))
+    df = df.select("*", F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9a-f]{12,64})(?:-json)?\.log", 1), F.lit("")).alias("__id"))
+    named, of = F.lit(name or None), F.lit(image or None)
+    if containers is not None:
+        side = containers.select(F.col("container_id").alias("__cid"), F.col("name").alias("__name"), F.col("image").alias("__image"))
+        df = df.join(side, F.col("__id") == F.col("__cid"), "left")
+        named, of = F.coalesce("__name", named), F.coalesce("__image", of)
+    attrs = _attrs(stream=F.col("stream"), container_id=F.col("__id"), container_name=named, image=of)
     return standard(df, F.regexp_replace("log", r"\n\z", ""), attrs, F.try_to_timestamp(F.regexp_replace("time", r"(\.\d{6})\d+", "$1")), "docker", **options)
 
 
 def json_lines(spark: SparkSession, path: str, stream: bool = False, vault: str = "main") -> DataFrame:
     """What ``sinks.json_lines`` writes, read again."""
     df = _read(spark, stream).schema("source_ts timestamp, ingest_ts timestamp, write_ts timestamp, attrs map<string,string>, raw string").json(path)
-    return df.withColumns({"vault_id": F.lit(vault), "ingester_id": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "ingest_seq": F.lit(0).cast("bigint")}).select(*SCHEMA.names)
+    return df.withColumns({"vault_id": F.lit(vault), "ingester_id": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "ingest_seq": sequence_number(stream)}).select(*SCHEMA.names)
+
+
+def event_log(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
+    """The engine's own log: Spark's event log, an event a record; level error where it tells of a failure."""
+    df = _read(spark, stream).text(path)
+    raw = F.col("value")
+    given = lambda p: F.get_json_object(raw, p)
+    failed = given("$['Job Result'].Result").eqNullSafe("JobFailed") | given("$['Task Info'].Failed").eqNullSafe("true") | given("$['Stage Info']['Failure Reason']").isNotNull()
+    attrs = _attrs(level=F.when(failed, "error").otherwise("info"), event=given("$.Event"), job_id=given("$['Job ID']"), stage_id=F.coalesce(given("$['Stage ID']"), given("$['Stage Info']['Stage ID']")))
+    millis = F.coalesce(*[given(p) for p in ("$.Timestamp", "$['Submission Time']", "$['Completion Time']", "$['Task Info']['Finish Time']", "$['Task Info']['Launch Time']", "$['Stage Info']['Completion Time']", "$.time")])
+    return standard(df.where("value <> ''"), raw, attrs, F.timestamp_millis(millis.try_cast("bigint")), "self", **options)
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True, **options: str) -> DataFrame:
@@ -142,18 +205,26 @@ def from_kafka(df: DataFrame) -> DataFrame:
 Decoder = Callable[[bytes], Iterator[tuple[dict[str, str], str]]]
 
 
-def framed(spark: SparkSession, path: str, decode: Decoder, ingester: str, stream: bool = False) -> DataFrame:
-    """Binary files of protocol frames; decode yields (attributes, message) of one file."""
+def decoded(df: DataFrame, decode: Decoder, ingester: str) -> DataFrame:
+    """Records of frames (column content); decode yields (attributes, message) of one row's bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in frames:
-            rows = [(attrs, raw) for content in part["content"] for attrs, raw in decode(bytes(content))]
-            yield pd.DataFrame({"attrs": [a for a, _ in rows], "raw": [r for _, r in rows]})
+            for content in part["content"]:
+                rows = decode(bytes(content))
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame({"attrs": [a for a, _ in some], "raw": [r for _, r in some]})
 
-    df = _read(spark, stream).format("binaryFile").load(path) if not stream else spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(path)
     return standard(df.select("content").mapInPandas(run, "attrs map<string,string>, raw string"), F.col("raw"), F.col("attrs"), ingester=ingester)
 
 
+def framed(spark: SparkSession, path: str, decode: Decoder, ingester: str, stream: bool = False) -> DataFrame:
+    """Binary files of protocol frames; decode yields (attributes, message) of one file."""
+    df = _read(spark, stream).format("binaryFile")
+    df = df.schema("path string, modificationTime timestamp, length long, content binary").load(path) if stream else df.load(path)
+    return decoded(df, decode, ingester)
+
+
 def decode_relp(content: bytes) -> Iterator[tuple[dict[str, str], str]]:
     """RELP frames: number, command, length, data; syslog commands carry messages."""
     at = 0
