@@ -7,9 +7,9 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_dedup import brute_groups
 from tests.llm.test_toxicity import CLEAN, corpus
-from timberline.llm import line_dedup, mixing, packing, toxicity
+from timberline.llm import line_dedup, mixing, packing, stages, toxicity
 from timberline.llm.components import components
 from timberline.llm.tokens import default_tokenizer
 
@@ -51,7 +51,7 @@ def test_each_stage_against_brute_force(spark, tables, tmp_path):
             assert not any("Shared footer" in (r.text or "") for r in rows)
         elif name == "simhash_near_dedup":
             order = sorted(before, key=lambda r: r.doc_id)
-            roots = brute_components([brute_fingerprint(r.text) for r in order])
+            roots = brute_groups([r.text for r in order])  # five words, a similarity of 0.8
             assert sorted(r.doc_id for r in rows) == sorted({order[i].doc_id for i in roots})
             assert len(rows) < len(before)
         elif name == "mixing":
@@ -108,3 +108,14 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     linked = {x for u, v in links if u != v for x in (u, v)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_copies_are_those_of_the_mix(spark, make_docs, tmp_path):
+    rows = [(i % 3 if i % 5 else None, f"w{i} a b c", ["s", None][i % 2]) for i in range(200)] + [(9, "w a b c", "t")] * 30
+    docs = make_docs(rows)
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    for r in stages.mix_sources(spark, docs, str(tmp_path)).collect():
+        got[r.doc_id, r.source] += 1
+    assert got == Counter({k: n for k, n in want.items() if n})

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm import near_dedup
 from timberline.llm.common import documents, materialize, text_or_empty
 from timberline.llm.components import components
 
@@ -223,6 +224,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) ->
     return own.join(named.join(tops, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row of docs of each near-duplicate group, the others dropped; see ``near_dedup.keep_one`` for which.
+
+    With a similarity (0.8 is what there is) groups are by the exact Jaccard similarity of shingle sets: no bound on differing
+    bits says the same, so candidates come from set prefixes in place of bit segments.
+    """
+    if similarity is None:
+        raise ValueError("groups by bits have no rows to keep: use near_duplicates")
+    if round(similarity * near_dedup.BELOW) != near_dedup.ABOVE:
+        raise ValueError(f"similarity {similarity} isn't {near_dedup.ABOVE}/{near_dedup.BELOW}")
+    return near_dedup.keep_one(docs, shingle)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
