@@ -61,11 +61,59 @@ def test_without_labels(spark, make_docs):
 
 
 @pytest.mark.parametrize(
-    "text, part, more",
-    [("you are an idiot.", 2, True), ("he is not an idiot.", 3, True), ("she said: fine. he said idiot.", 4, True), ("plain idiot", 2, False), ("not one two three four idiot", 3, False)],
+    "text, want",
+    [
+        ("you are an idiot.", [(0, 1, 0, 0)]),
+        ("idiot, you.", [(0, 1, 0, 0)]),
+        ("he is not an idiot.", [(0, 1, 1, 0)]),
+        ("she said: fine. he said idiot.", [(0, 1, 0, 1)]),
+        ("plain idiot", [(0, 0, 0, 0)]),
+        ("not one two three four idiot", [(0, 0, 0, 0)]),
+        ("we will kill", [(2, 0, 0, 0)]),
+        ("kill you. it was trash", [(1, 1, 0, 0), (0, 0, 0, 0)]),
+    ],
 )
-def test_clause_paths(text, part, more):
+def test_arcs_of_clauses(text, want):
     lexical = tox.LexicalTransducer(tox.Grammar())
     words = text.encode().split()
     assert lexical.read(words)
-    assert (tox.clauses(words, lexical.arcs)[part] > 0) == more
+    assert [tox.ARCS[a] for clause in tox.matches(words, lexical) for a, _ in clause] == want
+
+
+def brute_arcs(words):
+    """The arcs of each clause by their definition, word by word, without machines."""
+    fixed = {w: n for n, ws in (("t", tox.TARGETS), ("n", tox.NEGATORS), ("r", tox.REPORTS), ("i", tox.INTENTS), ("x", tox.INSULTS), ("k", tox.THREATS)) for w in ws.split()}
+    clause, out = [], []
+    for w in [*words, None]:
+        if w is not None:
+            clause.append(w)
+        if w is None or w.endswith("."):
+            kinds = [fixed.get(c.strip("."), "") for c in clause]
+            found = []
+            for i, k in enumerate(kinds):
+                if k in ("x", "k"):
+                    kind = 0 if k == "x" else 2 if "i" in kinds[:i] else 1
+                    found.append((kind, int("t" in kinds), int("n" in kinds[max(0, i - 3) : i]), int("r" in kinds[:i])))
+            out.append(found)
+            clause = []
+    return out
+
+
+def test_composition_against_brute_force():
+    rng, lexical = random.Random(6), tox.LexicalTransducer(tox.Grammar())
+    names = ["word", "tree", "you", "not", "said", "will", "idiot", "kill", "scum"]
+    for _ in range(400):
+        words = [rng.choice(names) + ("." if rng.random() < 0.15 else "") for _ in range(rng.randrange(1, 30))]
+        lexical.read(raw := [w.encode() for w in words])
+        got = [[tox.ARCS[a] for a, _ in clause] for clause in tox.matches(raw, lexical)]
+        assert [c for c in got if c] == [c for c in brute_arcs(words) if c]
+    assert 1 < len(lexical.machine.following) <= 2 * 2 * 4 * 2
+
+
+def test_a_stronger_clause_never_lowers_a_score():
+    rng = random.Random(7)
+    x = [(rng.random() * 3 * y, rng.random() * 2, rng.random() * y) for y in (rng.random() < 0.3 for _ in range(300))]
+    w = tox.not_negative(tox.np.array(x), tox.np.array([float(r[0] > 0) for r in x]))
+    assert all(v >= 0 for v in w[1:]) and w[1] > 0
+    arcs = tox.learned_arcs({(3, 1): 40, (3, 0): 1, (0, 1): 2, (0, 0): 60}, 100, 1000)
+    assert all(v >= 0 for v in arcs) and arcs[0] < tox.prior_arcs()[0] and arcs[1] == tox.prior_arcs()[1]
