@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from timberline.llm import repetition
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +64,11 @@ def test_query_columns(make_docs):
         if r.doc_id in (900, 901):
             assert r.kept
     assert repetition.judge(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_one_pass_for_long_texts_agrees(monkeypatch):
+    rng = np.random.default_rng(5)
+    cases = [rng.integers(0, k, n) for n in (2, 3, 50, 400) for k in (1, 2, 7, 1000)] + [np.tile(np.arange(9), 40)]
+    want = [repetition.longest_repeats(c.astype(np.int64)) for c in cases]
+    monkeypatch.setattr(repetition, "KASAI", 0)
+    assert all(np.array_equal(repetition.longest_repeats(c.astype(np.int64)), w) for c, w in zip(cases, want))

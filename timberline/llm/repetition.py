@@ -29,10 +29,12 @@ LONGEST = 0.1
 LONGEST_WORDS = 40
 LEAST_WORDS = 50
 CHUNK_BYTES = 2_000_000
+#: texts of more words than this have their common prefixes found in one pass over the text, which needs less memory
+KASAI = 600_000
 
 
-def suffix_ranks(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Prefix doubling: (length, ranks) for lengths 1, 2, 4, ... until all ranks differ.
+def suffix_ranks(ids: np.ndarray, last: bool = False) -> list[tuple[int, np.ndarray]]:
+    """Prefix doubling: (length, ranks) for lengths 1, 2, 4, ... until all ranks differ; with ``last`` only the last ones are kept.
 
     Two places have one rank at a length iff that many following words agree. A rank is
     the first place of its group in suffix order, so later rounds refine only groups of two or more.
@@ -49,7 +51,10 @@ def suffix_ranks(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
         first = np.r_[True, sorted_old[1:] != sorted_old[:-1]]
         start = np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
-        rank = rank.copy()
+        if last:
+            levels.clear()
+        else:
+            rank = rank.copy()
         rank[active[order]] = sorted_old + start
         levels.append((length, rank))
         group = np.cumsum(fresh) - 1
@@ -62,6 +67,26 @@ def suffix_ranks(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return levels
 
 
+def neighbour_lcps(ids: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Each suffix's common prefix with the one before it in suffix order, by Kasai's pass over the text: linear, no ranks of levels."""
+    n = len(ids)
+    out = np.zeros(n, np.int64)
+    word, before, place, lcp = memoryview(ids), memoryview(order), memoryview(rank), memoryview(out)
+    h = 0
+    for i in range(n):
+        at = place[i]
+        if not at:
+            h = 0
+            continue
+        j = before[at - 1]
+        while i + h < n and j + h < n and word[i + h] == word[j + h]:
+            h += 1
+        lcp[at] = h
+        if h:
+            h -= 1
+    return out
+
+
 def longest_repeats(ids: np.ndarray) -> np.ndarray:
     """For each place, the length in words of the longest repeat that starts there.
 
@@ -71,6 +96,14 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
     longest = np.zeros(n, np.int64)
     if n < 2:
         return longest
+    if n > KASAI:
+        rank = suffix_ranks(ids, last=True)[-1][1]
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
+        lcp = neighbour_lcps(ids, order, rank)
+        np.maximum.at(longest, order[1:], lcp[1:])
+        np.maximum.at(longest, order[:-1], lcp[1:])
+        return longest
     levels = suffix_ranks(ids)
     order = np.argsort(levels[-1][1], kind="stable")
     # only neighbours that share a word can share more

@@ -4,11 +4,12 @@ A fingerprint is the bitwise majority of the XXH64 hashes of 4-word shingles.
 Two fingerprints link at ``LIMIT`` or fewer differing bits. Equal fingerprints are one
 node. The 64 bits form a ring of five segments; if two fingerprints differ in at most 4 bits,
 then from some segment on every chain of l consecutive segments differs in at most
-l * 4 / 5 bits: the first in none, two in at most 1, three in at most 2. The first
+l * 4 / 5 bits: the first in none, two in at most 1, three in at most 2, four in at most 3. The first
 two segments are the join key: of two fingerprints that differ in one bit of the second
 segment, the one with the 0 also emits the key with a 1. Keys with very many rows go on to
-chains of three, whose 39 known bits bound a group at 2^25 nodes. Survivors get the full Hamming
-check; each task emits a spanning forest of its links, not all pairs.
+chains of three (38 or 39 known bits), and those with very many there to chains of four, whose 51 or 52 known bits
+leave 2^13 nodes a group at most. Survivors get the full Hamming
+check; rows that are connected already are not compared again, and each task emits a spanning forest of its links, not all pairs.
 
 Null and wordless texts have fingerprint zero and link like any other. Repeated rows
 share their node. An empty table gives no rows.
@@ -72,9 +73,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _flips(width: int, most: int) -> list[tuple[int, int]]:
-    """(mask, bits) of all ways to flip at most ``most`` bits of a segment."""
-    return [(sum(1 << b for b in c), k) for k in range(most + 1) for c in combinations(range(width), k)]
+def _flips(widths: list[int], most: list[int], used: int = 0) -> Iterator[int]:
+    """Masks over consecutive segments (the last in the low bits): all ways to flip bits within the cumulative budgets."""
+    if not widths:
+        yield 0
+        return
+    rest = sum(widths[1:])
+    for k in range(most[0] - used + 1):
+        for bits in combinations(range(widths[0]), k):
+            own = sum(1 << b for b in bits) << rest
+            for more in _flips(widths[1:], most[1:], used + k):
+                yield own | more
 
 
 def chain_rows(fps: np.ndarray, chain: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -92,10 +101,9 @@ def chain_rows(fps: np.ndarray, chain: int) -> Iterator[tuple[np.ndarray, np.nda
                 zero = (seg[1] >> np.uint64(b)) & np.uint64(1) == 0
                 yield key[zero] | np.uint64(1 << b), fps[zero], True
         else:
-            for second, k in _flips(WIDTHS[at[1]], 1):
-                for third, _ in _flips(WIDTHS[at[2]], 2 - k):
-                    if second or third:
-                        yield key ^ np.uint64(second << WIDTHS[at[2]] | third), fps, True
+            for mask in _flips([WIDTHS[a] for a in at[1:]], [j * LIMIT // 5 for j in range(2, chain + 1)]):
+                if mask:
+                    yield key ^ np.uint64(mask), fps, True
 
 
 def _keyed(nodes: DataFrame, chain: int) -> DataFrame:
@@ -109,44 +117,47 @@ def _keyed(nodes: DataFrame, chain: int) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the links u-v, those that a union-find needs."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    a, b = [], []
-    for x, y in zip(u.tolist(), v.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            a.append(x)
-            b.append(y)
-    return a, b
-
-
 def group_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by key: pairs with one key, at most one of them a probe, within limit bits."""
-    out_u, out_v = [], []
-    live = np.flatnonzero(key[1:] == key[:-1])
-    shift = 1
+    """Links among rows sorted by key: pairs with one key, at most one of them a probe, within limit bits; a spanning forest of them.
+
+    Memory is that of the rows: a label a row says what it is connected to, and pairs of one label are passed over.
+    """
+    n = len(key)
+    label, out_u, out_v = np.arange(n), [], []
+    live, shift = np.flatnonzero(key[1:] == key[:-1]), 1
     while len(live):
-        a, b = live, live + shift
-        ok = (np.bitwise_count(fp[a] ^ fp[b]) <= limit) & (fp[a] != fp[b]) & ~(probe[a] & probe[b])
+        a = live[label[live] != label[live + shift]]
+        b = a + shift
+        ok = (np.bitwise_count(fp[a] ^ fp[b]) <= limit) & ~(probe[a] & probe[b])
         if ok.any():
-            out_u.append(fp[a[ok]])
-            out_v.append(fp[b[ok]])
+            a, b = a[ok], b[ok]
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while (p := root.get(x, x)) != x:
+                    root[x] = x = root.get(p, p)
+                return x
+
+            used = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    used[i] = True
+            to = np.arange(n)
+            for x in list(root):
+                to[x] = find(x)
+            label = to[label]
+            a, b = a[used], b[used]
+            different = fp[a] != fp[b]
+            out_u.append(fp[a[different]])
+            out_v.append(fp[b[different]])
         shift += 1
-        live = live[live + shift < len(key)]
+        live = live[live + shift < n]
         live = live[key[live] == key[live + shift]]
     if not out_u:
         return np.array([], np.uint64), np.array([], np.uint64)
-    u, v = np.concatenate(out_u), np.concatenate(out_v)
-    a, b = forest(u, v)
-    return np.array(a, np.uint64), np.array(b, np.uint64)
+    return np.concatenate(out_u), np.concatenate(out_v)
 
 
 def _links(rows: DataFrame, hot: int | None) -> DataFrame:
@@ -206,10 +217,13 @@ def near_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
         return _links(_keyed(of, chain).repartition("key").sortWithinPartitions("key"), most)
 
     found = materialize(pairs(nodes, 2, hot), "pairs")
-    burnt = found.where("v is null").select(F.col("u").alias("fp")).distinct()
     links = found.where("v is not null")
-    if not burnt.isEmpty():
-        links = links.unionByName(pairs(burnt, 3, None))
+    for chain in (3, 4):
+        burnt = found.where("v is null").select(F.col("u").alias("fp")).distinct()
+        if burnt.isEmpty():
+            break
+        found = materialize(pairs(burnt, chain, hot if chain == 3 else None), f"pairs{chain}")
+        links = links.unionByName(found.where("v is not null"))
     return links
 
 
