@@ -10,7 +10,7 @@ host, 0.85 if all links go to such, 0.72 two links away; above ``REACH`` the dis
 
 All of it is DataFrame functions. Links are counted per pair of hosts before they are
 shuffled, so a host with a third of all pages is one row a target; rank rounds move one row
-per host and link, and are written to the shared folder every few rounds. Rules are a parameter (each becomes a
+per host and link, are written to the shared folder every few rounds and end when the ranks have settled. Rules are a parameter (each becomes a
 branch of one expression), not data.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed. Null html has no
@@ -22,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import materialize
+from timberline.llm.common import discard, materialize
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: rounds end once the ranks change by less than this share of the seeds' in EVERY rounds, or after so many
+TOLERANCE, ROUNDS, EVERY = 1e-7, 60, 3
 FLOOR = 0.02
 REACH = 0.72
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,20 +63,28 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, per: str = "src") -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, per: str = "src", tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, rank) over seeds (host) and links (src, dst, n); a lone seed has 1 - damping.
 
-    A link's share is of all links of its src, or with ``per`` of its dst.
+    A link's share is of all links of its src, or with ``per`` of its dst. Goes on until it settles.
     """
     start = materialize(seeds.select("host", F.lit(1 - damping).alias("rank")), "seeds")
     total = links.groupBy(per).agg(F.sum("n").alias("all"))
     share = materialize(links.join(total, per).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
-    rank = start
+    rank, before = start, start
+    mass = max(1, start.count()) * (1 - damping)
     for k in range(rounds):
         moved = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
         rank = start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 3 == 2:
+        if k % EVERY == EVERY - 1:
             rank = materialize(rank, f"rank{k}")
+            steps = rank.unionByName(before.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("step"))
+            change = steps.agg(F.sum("step")).first()[0] or 0.0
+            if before is not start:
+                discard(before)
+            before = rank
+            if change <= tolerance * mass:
+                break
     return rank
 
 
