@@ -9,16 +9,28 @@ from timberline.llm import fingerprints as fp
 MASK = (1 << 64) - 1
 
 
-def runs(text):
+def pieces(text):
+    """The cells by their definition, character by character."""
+    cut, blank = set("abcdefghABCDEFGH01234.,;:!?"), " \t\r\n"
     out = []
-    zones = [(0, 16, 2), (16, 64, 8), (64, 256, 16), (256, None, 64)]
-    for a, b, width in zones:
-        out += re.findall(r"[^\n]{1,%d}" % width, text[a:b])
+    for zone, least, most in ((text[:16], None, 2), (text[16:256], 4, 40), (text[256:], 48, 180)):
+        at = 0
+        while at < len(zone):
+            end = min(len(zone), at + most)
+            if least is not None:
+                for n in range(least, most + 1):
+                    if at + n + 1 < len(zone) and zone[at + n] in cut and zone[at + n + 1] in blank:
+                        end = at + n + 1
+                        while end < len(zone) and zone[end] in blank:
+                            end += 1
+                        break
+            out.append(zone[at:end][:255])
+            at = end
     return out
 
 
 def digests(text):
-    return {(xxhash.xxh64_intdigest(r.encode(), 42) & ~255 & MASK) | len(r) for r in runs(text)}
+    return {(xxhash.xxh64_intdigest(r.encode(), 42) & ~255 & MASK) | len(r) for r in pieces(text)}
 
 
 def table(ds):
@@ -75,8 +87,8 @@ def test_against_brute_force(make_docs):
 
 def test_small_tables_do_peel(spark, make_docs):
     """Few differences are recovered from the 12 cells, more from the 96, without looking at the digests."""
-    base = " ".join(f"word{i}" for i in range(900))
-    for edits, cells in ((2, 12), (12, 96)):
+    base = " ".join(f"term{i}" for i in range(900))
+    for edits, cells in ((1, 12), (12, 96)):
         other = base
         for k in range(edits):
             other = other[: 300 + 256 * k] + "#" + other[301 + 256 * k :]
@@ -110,3 +122,26 @@ def test_ties_and_single(make_docs):
     out = fp.versions(make_docs([(1, "x"), (1, "x"), (None, "n"), (1, "y")])).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in out) == [(0, 1), (1, 1), (1, 1), (1, 1)]
     assert fp.versions(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_an_insertion_leaves_most_cells(make_docs):
+    rng = random.Random(8)
+    words = [f"wort{i}{c}" for i in range(200) for c in "aeknt"]
+    text = " ".join(rng.choice(words) for _ in range(700))
+    for put in ("x", "some more words here "):
+        rows = [(1, text), (2, text[:5] + put + text[5:]), (3, " ".join(rng.choice(words) for _ in range(700)))]
+        got = {r.doc_id: r.near_next for r in fp.versions(make_docs(rows)).collect()}
+        assert got[1] > 0.85 > 0.2 > got[2]
+
+
+def test_each_size_of_tables(spark):
+    """Sets that differ in few to very many digests, from the digests and from tables alone."""
+    rng = random.Random(9)
+    sets = []
+    for n in (0, 1, 5, 40, 300, 3000, 9000):
+        a = [rng.getrandbits(63) for _ in range(n)]
+        sets.append((a, a[n // 2 :] + [rng.getrandbits(63) for _ in range(n)]))
+    df = spark.createDataFrame(sets, "da array<bigint>, db array<bigint>")
+    df = df.withColumn("la", fp.subtables("da")).withColumn("lb", fp.subtables("db")).withColumn("sa", fp.folded("la")).withColumn("sb", fp.folded("lb"))
+    got = df.select(fp.F.expr(fp.differing("sa", "sb", "la", "lb", "da", "db")).alias("w"), fp.F.size("da").alias("n")).collect()
+    assert {r.n: r.w for r in got} == {len(a): weight(set(a) ^ set(b)) for a, b in sets}

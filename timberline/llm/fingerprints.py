@@ -1,13 +1,15 @@
 """Document fingerprints as invertible Bloom lookup tables.
 
-A text's paragraphs are cut into short runs of characters (finer in the first 256, so short
-texts resolve too); each run's digest carries its length in the low byte. The set of digests
+A text's paragraphs are cut into cells where their content says so: behind a word that ends in one of some letters or signs,
+at lengths between a least and a most (shorter in the first 256 characters, and pairs in the first 16, so that short texts
+resolve too). Text put in or taken out moves the cuts near it only; cells further on are found again. Each cell's digest carries
+its length in the low byte. The set of digests
 fills a table of cells (count, xor of digests, xor of their hashes): every digest is in one cell of
 each of three blocks of four. Tables of two versions subtract cell by cell, what they share cancels,
 and peeling (a cell with count +1 or -1 whose hash fits names a digest, which leaves its other
 cells) recovers the digests that differ. The first try uses the fingerprint's 12 cells; on failure
-eight tables, 96 cells, by three more digest bits (the small one is their sum), then 64 tables; where that fails too,
-the digests themselves are compared, which are then no larger than the next table would be. Likeness is the
+eight tables by three more digest bits (the small one is their sum); of these and of each later size, those that can't be peeled are
+split into eight larger ones in their place, down to ``RUNGS`` sizes (4,096 tables of each eighth, 393,216 cells in all). Likeness is the
 share of both versions' characters in digests that they share.
 
 Everything is DataFrame functions. Documents are bucketed by quantiles of doc_id; the first
@@ -15,7 +17,7 @@ document of a bucket is copied into the bucket before, so that one shuffle of th
 document its successor, and no window spans more than a bucket.
 
 Null texts are empty; two empty texts are alike (1.0). Null doc_ids sort first. Repeated
-doc_ids follow each other by text. With one document, it is its own successor. Repeated runs count once.
+doc_ids follow each other by text. With one document, it is its own successor. Repeated cells count once.
 """
 
 from __future__ import annotations
@@ -27,18 +29,26 @@ from timberline.llm.common import documents, text_or_empty
 
 SUBTABLES = 8
 CELLS = 12
-ROUNDS = 7
-#: where a zone starts, SQL for its size, characters a run
-RUNS = ((1, ", 16", 2), (17, ", 48", 8), (65, ", 192", 16), (257, "", 64))
+#: as many rounds as there are cells: each recovers one digest at least, or none is left to recover
+ROUNDS = CELLS
+#: sizes of tables after the 12 cells and the eight tables
+RUNGS = 4
+CUT = "[a-hA-H0-4.,;:!?][ \\t\\r\\n]+"
+#: where a zone starts, its length if it ends, pattern of its cells
+ZONES = (
+    (1, 16, r"[\s\S]{1,2}"),
+    (17, 240, rf"[\s\S]{{4,40}}?{CUT}|[\s\S]{{1,40}}"),
+    (257, None, rf"[\s\S]{{48,180}}?{CUT}|[\s\S]{{1,180}}"),
+)
 NULL_KEY = -(2**63)
 CELL = "struct<n:int,k:bigint,c:bigint>"
 
 
 def digests(text: str) -> Column:
-    """The set of run digests of a text column, each with its run's length in the low byte."""
-    parts = [f"regexp_extract_all(substr({text}, {at}{size}), '[^\\\\n]{{1,{width}}}', 0)" for at, size, width in RUNS]
-    runs = f"concat({', '.join(parts)})"
-    return F.expr(f"array_distinct(transform({runs}, p -> (xxhash64(p) & -256L) | length(p)))")
+    """The set of cell digests of a text column, each with its cell's length in the low byte."""
+    parts = [F.regexp_extract_all(F.substr(F.col(text), F.lit(at), F.lit(size or 2**31 - 1)), F.lit(pattern), F.lit(0)) for at, size, pattern in ZONES]
+    pieces = F.transform(F.concat(*parts), lambda p: F.substr(p, F.lit(1), F.lit(255)))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(F.lit(-256)).bitwiseOR(F.length(p))))
 
 
 def weight(ds: str) -> str:
@@ -57,14 +67,14 @@ def _cells(ds: str) -> str:
     return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({ds}, d -> {_hit('d')}), {empty}, {add}))"
 
 
-def _part(ds: str, bits: int) -> str:
-    """The digests of sub-table s of 2^bits."""
-    return f"filter({ds}, d -> (shiftrightunsigned(d, 40) & {2**bits - 1}L) = s)"
+def _part(ds: str, rung: int, s: str = "s") -> str:
+    """Of the digests of one table, those of its sub-table s of eight at a rung."""
+    return f"filter({ds}, d -> (shiftrightunsigned(d, {40 + 3 * rung}) & 7L) = {s})"
 
 
 def subtables(ds: str) -> Column:
     """The eight tables of a digest array column: array<array<cell>>."""
-    return F.expr(f"transform(sequence(0, {SUBTABLES - 1}), s -> transform(array({_part(ds, 3)}), mine -> {_cells('mine')})[0])")
+    return F.expr(f"transform(sequence(0, {SUBTABLES - 1}), s -> transform(array({_part(ds, 0)}), mine -> {_cells('mine')})[0])")
 
 
 def folded(tables: str) -> Column:
@@ -91,19 +101,27 @@ def peeled(cells: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'w', 0L), (st, r) -> {step}, st -> {end})"
 
 
-def differing(small_a: str, small_b: str, large_a: str, large_b: str, ds_a: str, ds_b: str) -> str:
-    """Weight of the digests in one version only: by 12 cells, else 96, else 768, else from the digests.
+def _split(a: str, b: str, rung: int) -> str:
+    """Weight of the digests in one of two arrays only: eight tables, each split further if it can't be peeled.
 
-    Where most of the eight tables can't be peeled, the 768 cells are skipped to save time, though some of those would peel; the result is the same.
+    The last size compares what is left of one table as it is: two digests would have to agree in 15 bits, and in all their cells.
     """
+    ma, mb, s = f"ma{rung}", f"mb{rung}", f"s{rung}"
+    table = peeled(difference(_cells(ma), _cells(mb)))
+    last = f"{weight(f'array_except({ma}, {mb})')} + {weight(f'array_except({mb}, {ma})')}"
+    larger = _split(ma, mb, rung + 1) if rung < RUNGS else last
+    one = f"if(size({ma}) = 0 AND size({mb}) = 0, 0L, coalesce({table}, {larger}))"
+    bound = f"transform(array({_part(a, rung, s)}), {ma} -> transform(array({_part(b, rung, s)}), {mb} -> {one})[0])[0]"
+    return f"aggregate(sequence(0, {SUBTABLES - 1}), 0L, (w{rung}, {s}) -> w{rung} + {bound})"
+
+
+def differing(small_a: str, small_b: str, large_a: str, large_b: str, ds_a: str, ds_b: str) -> str:
+    """Weight of the digests in one version only, peeled from 12 cells, else from eight tables, else from as many as it takes."""
     first = peeled(difference(small_a, small_b))
     pairs = f"zip_with({large_a}, {large_b}, (t, u) -> {difference('t', 'u')})"
-    mine = difference(_cells("ma"), _cells("mb"))
-    third = f"aggregate(sequence(0, {8 * SUBTABLES - 1}), 0L, (w, s) -> if(w IS NULL, w, w + transform(array({_part(ds_a, 6)}), ma -> transform(array({_part(ds_b, 6)}), mb -> {peeled(mine)})[0])[0]))"
-    tried = f"transform({pairs}, t -> {peeled('t')})"
-    second = f"transform(array({tried}), v -> CASE WHEN forall(v, x -> x IS NOT NULL) THEN aggregate(v, 0L, (w, x) -> w + x) WHEN size(filter(v, x -> x IS NOT NULL)) >= {SUBTABLES // 2} THEN {third} END)[0]"
-    last = f"{weight(f'array_except({ds_a}, {ds_b})')} + {weight(f'array_except({ds_b}, {ds_a})')}"
-    return f"coalesce({first}, {second}, {last})"
+    again = f"transform(array({_part(ds_a, 0, 's0')}), ma0 -> transform(array({_part(ds_b, 0, 's0')}), mb0 -> {_split('ma0', 'mb0', 1)})[0])[0]"
+    second = f"aggregate(transform({pairs}, (t, s0) -> coalesce({peeled('t')}, {again})), 0L, (w, x) -> w + x)"
+    return f"coalesce({first}, {second})"
 
 
 def likeness(differ: str, a: str, b: str) -> Column:
