@@ -38,7 +38,7 @@ CUT = "[a-hA-H0-4.,;:!?][ \\t\\r\\n]+"
 ZONES = (
     (1, 16, r"[\s\S]{1,2}"),
     (17, 240, rf"[\s\S]{{4,40}}?{CUT}|[\s\S]{{1,40}}"),
-    (257, None, rf"[\s\S]{{48,180}}?{CUT}|[\s\S]{{1,180}}"),
+    (257, None, rf"[\s\S]{{110,250}}?{CUT}|[\s\S]{{1,250}}"),
 )
 NULL_KEY = -(2**63)
 CELL = "struct<n:int,k:bigint,c:bigint>"
@@ -96,9 +96,19 @@ def peeled(cells: str) -> str:
     pure = "array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND xxhash64(x.k) = x.c), x -> named_struct('k', x.k, 'n', x.n)))"
     less = "(a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'c', a.c ^ xxhash64(p.k))"
     rest = f"transform(st.cells, (c, i) -> aggregate(filter(pure, p -> {_hit('p.k')}), c, {less}))"
-    step = f"transform(array({pure}), pure -> if(size(pure) = 0, st, named_struct('cells', {rest}, 'w', st.w + aggregate(pure, 0L, (a, p) -> a + (p.k & 255L)))))[0]"
+    stuck = "named_struct('cells', st.cells, 'w', st.w, 'go', false)"
+    moved = f"named_struct('cells', {rest}, 'w', st.w + aggregate(pure, 0L, (a, p) -> a + (p.k & 255L)), 'go', true)"
+    step = f"if(st.go, transform(array({pure}), pure -> if(size(pure) = 0, {stuck}, {moved}))[0], st)"
     end = "if(exists(st.cells, x -> x.n <> 0 OR x.k <> 0L OR x.c <> 0L), NULL, st.w)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'w', 0L), (st, r) -> {step}, st -> {end})"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'w', 0L, 'go', true), (st, r) -> {step}, st -> {end})"
+
+
+def _both(a: str, b: str) -> str:
+    """The difference table of two digest arrays, made at once."""
+    empty = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+    add = "(t, d) -> named_struct('n', t.n + 1, 'k', t.k ^ d, 'c', t.c ^ xxhash64(d))"
+    less = "(t, d) -> named_struct('n', t.n - 1, 'k', t.k ^ d, 'c', t.c ^ xxhash64(d))"
+    return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({b}, d -> {_hit('d')}), aggregate(filter({a}, d -> {_hit('d')}), {empty}, {add}), {less}))"
 
 
 def _split(a: str, b: str, rung: int) -> str:
@@ -107,7 +117,7 @@ def _split(a: str, b: str, rung: int) -> str:
     The last size compares what is left of one table as it is: two digests would have to agree in 15 bits, and in all their cells.
     """
     ma, mb, s = f"ma{rung}", f"mb{rung}", f"s{rung}"
-    table = peeled(difference(_cells(ma), _cells(mb)))
+    table = peeled(_both(ma, mb))
     last = f"{weight(f'array_except({ma}, {mb})')} + {weight(f'array_except({mb}, {ma})')}"
     larger = _split(ma, mb, rung + 1) if rung < RUNGS else last
     one = f"if(size({ma}) = 0 AND size({mb}) = 0, 0L, coalesce({table}, {larger}))"
