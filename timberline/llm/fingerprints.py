@@ -60,11 +60,16 @@ def _hit(key: str) -> str:
     return f"(shiftrightunsigned({key}, 8 + 2 * (i div 4)) & 3L) = i % 4"
 
 
+#: the cells as constants: which two bits of a digest to look at, and what they are
+_EACH = "array(" + ", ".join(f"named_struct('b', {8 + 2 * (i // 4)}, 'v', {i % 4}L)" for i in range(CELLS)) + ")"
+_IN = "d -> (shiftrightunsigned(d, i.b) & 3L) = i.v"
+
+
 def _cells(ds: str) -> str:
     """The 12 cells of the digests in an array."""
     empty = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
     add = "(a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d, 'c', a.c ^ xxhash64(d))"
-    return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({ds}, d -> {_hit('d')}), {empty}, {add}))"
+    return f"transform({_EACH}, i -> aggregate(filter({ds}, {_IN}), {empty}, {add}))"
 
 
 def _part(ds: str, rung: int, s: str = "s") -> str:
@@ -108,7 +113,7 @@ def _both(a: str, b: str) -> str:
     empty = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
     add = "(t, d) -> named_struct('n', t.n + 1, 'k', t.k ^ d, 'c', t.c ^ xxhash64(d))"
     less = "(t, d) -> named_struct('n', t.n - 1, 'k', t.k ^ d, 'c', t.c ^ xxhash64(d))"
-    return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({b}, d -> {_hit('d')}), aggregate(filter({a}, d -> {_hit('d')}), {empty}, {add}), {less}))"
+    return f"transform({_EACH}, i -> aggregate(filter({b}, {_IN}), aggregate(filter({a}, {_IN}), {empty}, {add}), {less}))"
 
 
 def _split(a: str, b: str, rung: int) -> str:
