@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timberline.llm import packing, token_counts
@@ -95,3 +96,20 @@ def test_differencing_is_near_equal_and_the_count_rises():
     assert len(packing.spread([1025] * 4)) == 4
     assert packing.spread([]) == []
     assert packing.spread([5]) == [[0]]
+
+
+def test_packing_leaves_no_memo_in_its_workers(spark, make_docs):
+    docs = make_docs([(i, f"alpha{i} beta gamma{i}") for i in range(40)])
+    assert packing.pieces(docs, default_tokenizer()).count() == 40
+
+    def held(batches):
+        import gc
+
+        from timberline.llm import tokens
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([sum(len(e.memo) for e in tokens._ENCODERS.values())]), pa.array([gc.isenabled()])], ["words", "collects"])
+
+    # the same workers are used again
+    rows = spark.range(0, 16, 1, 4).mapInArrow(held, "words long, collects boolean").collect()
+    assert rows and all(r.words == 0 and r.collects for r in rows)

@@ -117,3 +117,13 @@ def test_a_stronger_clause_never_lowers_a_score():
     assert all(v >= 0 for v in w[1:]) and w[1] > 0
     arcs = tox.learned_arcs({(3, 1): 40, (3, 0): 1, (0, 1): 2, (0, 0): 60}, 100, 1000)
     assert all(v >= 0 for v in arcs) and arcs[0] < tox.prior_arcs()[0] and arcs[1] == tox.prior_arcs()[1]
+
+
+def test_rows_are_sent_with_their_text_once(spark, make_docs):
+    rows = [(1, "you stupid idiot, you moron scum"), (2, "a fine day"), (3, None), (4, "")]
+    docs = make_docs(rows).withColumnRenamed("text", "Text")
+    kept = tox.nontoxic(docs, tox.Grammar())
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    assert "as binary" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    raw = docs.withColumn("Text", F.col("Text").cast("binary"))
+    assert sorted(r.doc_id for r in tox.nontoxic(raw, tox.Grammar()).collect()) == [2, 3, 4]

@@ -44,16 +44,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
     """One row per piece, with the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        of_words = encoder(tokenizer)
         names = [x.split()[0] for x in PIECE.split(", ")]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += END
-                    n = len(ids) // 4
-                    rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, grain)]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part, rows = batch.slice(at, 256), []
+                    for doc, ids in zip(part.column(0).to_pylist(), of_words.ids(part.column(1).to_pylist())):
+                        ids += END
+                        n = len(ids) // 4
+                        rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, grain)]
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names)
+        finally:
+            of_words.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("t")).mapInArrow(cut, PIECE)
 

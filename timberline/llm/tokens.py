@@ -108,6 +108,11 @@ class WordEncoder:
         for word, head, core, tail in parts:
             memo[word] = memo[head] + memo[core] + memo[tail]
 
+    def release(self) -> None:
+        """Forgets the memo, at a task's end: a reused worker would hold it through other stages."""
+        self.memo = {}
+        gc.enable()
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -124,6 +129,6 @@ def encoder(path: str) -> WordEncoder:
     """The worker's encoder for this vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-        # a large memo without cycles: collecting garbage would only walk over it
-        gc.disable()
+    # a large memo without cycles: collecting garbage would only walk over it
+    gc.disable()
     return _ENCODERS[path]
