@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from timberline.llm import near_dedup, stages
+from timberline.llm import near_dedup, simhash, stages
+from timberline.llm.components import components
 
 
 def brute_set(text):
@@ -101,3 +102,25 @@ def test_sketches_bound_the_difference():
         b = set(rng.sample(sorted(a), rng.randrange(len(a)))) | {rng.getrandbits(64) for _ in range(rng.choice([1, 30, 500]))}
         assert near_dedup.apart(*(near_dedup.sketch(np.array(sorted(x), np.uint64)) for x in (a, b))) <= len(a ^ b)
     assert near_dedup.apart(near_dedup.sketch(np.arange(40, dtype=np.uint64)), near_dedup.sketch(np.arange(90, dtype=np.uint64))) == 50
+
+
+def test_simhash_goes_first(spark, make_docs, monkeypatch):
+    """What pigeonring chains link is connected without prefixes; what differs in more bits is left to them."""
+    rng = random.Random(6)
+    text = [f"b{i}" for i in range(3000)]
+    rows = [(i, " ".join(text[:k] + ["edit"] * bool(i) + text[k:])) for i, k in enumerate((0, 100, 2000, 2900))]
+    rows += [(9, " ".join(rng.choice(text) for _ in range(400))), (10, None), (11, "a")]
+    docs = make_docs(rows)
+    brief = near_dedup.node_rows(docs).where("sketch is not null").select("node", "n", "sketch", "fp").dropDuplicates(["node"])
+    fps = {r.node: r.fp & (2**64 - 1) for r in brief.collect()}
+    root = {x: x for x in fps}
+    for x in fps:
+        for y in fps:
+            if (fps[x] ^ fps[y]).bit_count() <= simhash.LIMIT:
+                a, b = root[x], root[y]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    got = {r.node: r.component for r in components(near_dedup.by_bits(brief)).collect()}
+    assert {x: got.get(x, x) for x in fps} == root and len(set(root.values())) == 4
+    monkeypatch.setattr(near_dedup, "shared_rows", lambda rows: rows.selectExpr("key", "node", "at", "node head", "node prev").limit(0))
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9, 10: 10, 11: 11}

@@ -1,15 +1,18 @@
 """Near-dedup by exact Jaccard similarity of word shingles: op 6's form for a similarity instead of bits.
 
 Two texts link if their sets of 5-word shingles (lower-cased, by 64-bit hash) have a Jaccard similarity
-of at least 4/5. Equal sets are one node, named by a hash of the set. Candidates come from prefixes: in
-one order of all shingles, sets that are similar enough share one of the first n - ceil(4/5 n) + 1 of
+of at least 4/5. Equal sets are one node, named by a hash of the set.
+
+SimHash goes first: a node's fingerprint is the bitwise majority of its set, pigeonring chains find the fingerprints
+within op 6's bits of each other, and what they link is counted in full. As similar sets may differ in more bits, candidates for
+what is not connected by then come from prefixes: in one order of all shingles, sets that are similar enough share one of the first n - ceil(4/5 n) + 1 of
 their n, so no pair is lost. The order puts shingles that a sample of the texts has often behind
 all others, so that quoted passages make no hot keys; a poor sample costs time, not links. Pairs whose
 sizes or places in both sets leave too few shingles to share are skipped, and so are those whose sketches
 (a bit a bin: whether it holds an odd number of the set) differ in more bits than similar sets have
 differing shingles; the others are counted in full.
 
-Pairs come in two rounds, so that a group of near copies isn't compared pair by pair: first each node of a key with the
+Pairs of prefixes come in two rounds, so that a group of near copies isn't compared pair by pair: first each node of a key with the
 key's first and with the one before it, then, of what that leaves unconnected, every pair of one key. Sets are made
 from the texts again where they are needed rather than stored; a task sends each node once, however many copies it reads.
 
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 
 from timberline.llm.common import discard, materialize, text_or_empty
 from timberline.llm.components import components
+from timberline.llm.simhash import majority, near_links
 
 SHINGLE = 5
 #: the similarity as a fraction
@@ -113,7 +117,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def node_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, digest, node (a hash of the set) of every row; size and sketch where a task first meets a node."""
+    """doc_id, digest, node (a hash of the set) of every row; size, sketch and SimHash where a task first meets a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -121,10 +125,12 @@ def node_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets, node = _sets(part.column(2), shingle)
             first = once(node.tolist())
             size = pa.array([len(s) if f else None for s, f in zip(sets, first)], pa.int64())
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(node), size, pa.array([sketch(s) if f else None for s, f in zip(sets, first)], pa.binary())], ["doc_id", "digest", "node", "n", "sketch"])
+            brief = pa.array([sketch(s) if f else None for s, f in zip(sets, first)], pa.binary())
+            bits = pa.array(np.array([majority(s) if f else 0 for s, f in zip(sets, first)], np.uint64).view(np.int64), mask=~first)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(node), size, brief, bits], ["doc_id", "digest", "node", "n", "sketch", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), text_or_empty().cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n long, sketch binary, fp long")
 
 
 def often(docs: DataFrame, shingle: int = SHINGLE) -> dict[int, int]:
@@ -264,6 +270,23 @@ def sketched(pairs: DataFrame, brief: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
+def by_bits(brief: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes that connect all whose fingerprints SimHash links; nodes of one fingerprint meet at the least of them."""
+    own = brief.select("node", "fp")
+    least = own.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = own.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "uv")
+    across = near_links(least.select("fp")).join(a, "u").join(b, "v")
+    return equal.unionByName(across.select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v"))).distinct()
+
+
+def apart_yet(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are not connected."""
+    u, v = (member.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "uv")
+    joined = pairs.join(u, "u", "left").join(v, "v", "left")
+    return joined.where(F.coalesce("in_u", "u") != F.coalesce("in_v", "v")).select("u", "v")
+
+
 def wanted_slots(nodes: DataFrame) -> np.ndarray:
     """A bit a slot: whether a node falls there; SLOTS / 8 bytes come to the driver, whatever the table's size."""
     at = F.pmod("node", F.lit(SLOTS)) + 1
@@ -308,11 +331,14 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFr
 
 def grouped(docs: DataFrame, own: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """node, component for the nodes that are similar to another."""
-    brief = materialize(own.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "brief")
+    brief = materialize(own.where("sketch is not null").select("node", "n", "sketch", "fp").dropDuplicates(["node"]), "brief")
+    near = materialize(sketched(by_bits(brief), brief), "near")
+    links = near if near.isEmpty() else similar(near, docs, shingle)
+    member = components(links)
     shared = materialize(shared_rows(prefix_rows(docs, often(docs, shingle), shingle)), "shared")
     stars = F.explode(F.array(*[F.struct(F.least("node", c).alias("u"), F.greatest("node", c).alias("v")) for c in ("head", "prev")])).alias("p")
     first = shared.select(stars).select("p.*").where("u <> v").distinct()
-    links = similar(materialize(sketched(first, brief), "sketched"), docs, shingle)
+    links = links.unionByName(similar(materialize(sketched(apart_yet(first, member), brief), "sketched"), docs, shingle))
     member = components(links)
     labelled = shared.join(member.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("component", "node"))
     rest = materialize(sketched(candidates(labelled), brief), "crossed")

@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import near_dedup
 from timberline.llm.common import documents, materialize, text_or_empty
 from timberline.llm.components import components
 
@@ -37,6 +36,15 @@ OFFSETS = (0, 13, 26, 39, 52)
 HOT = 50_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    total, counts = len(hashes), np.zeros(64, np.int64)
+    array = hashes.astype(">u8")
+    for at in range(0, total, 1 << 16):
+        counts += np.unpackbits(array[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a UTF-8 text."""
     import xxhash
@@ -53,11 +61,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
         starts = [0, *ends[: n - shingle].tolist()]
         hashes = [hash64(joined[a:b], HASH_SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    total, counts = len(hashes), np.zeros(64, np.int64)
-    array = np.array(hashes, dtype=">u8")
-    for at in range(0, total, 1 << 16):
-        counts += np.unpackbits(array[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+    return majority(np.array(hashes, np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -241,9 +245,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) ->
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of docs of each near-duplicate group, the others dropped; see ``near_dedup.keep_one`` for which.
 
-    With a similarity (0.8 is what there is) groups are by the exact Jaccard similarity of shingle sets: no bound on differing
-    bits says the same, so candidates come from set prefixes in place of bit segments.
+    With a similarity (0.8 is what there is) groups are by the exact Jaccard similarity of shingle sets. Links of fingerprints by
+    ``near_links`` are verified first; no bound on differing bits says the same as the similarity, so set prefixes give those beyond it.
     """
+    from timberline.llm import near_dedup
+
     if similarity is None:
         raise ValueError("groups by bits have no rows to keep: use near_duplicates")
     if round(similarity * near_dedup.BELOW) != near_dedup.ABOVE:
