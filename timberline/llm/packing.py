@@ -40,8 +40,8 @@ def cuts(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int
     return [(s, capacity) for s in range(0, full, capacity)] + [(s, min(grain, n - s)) for s in range(full, n, grain)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """One row per piece, with the checksum of its ids."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int = GRAIN, forget: bool = False) -> DataFrame:
+    """One row per piece, with the checksum of its ids; ``forget``: tasks leave no memo of words in their workers, where other stages follow."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words = encoder(tokenizer)
@@ -56,7 +56,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
                         rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, grain)]
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names)
         finally:
-            of_words.release()
+            if forget:
+                of_words.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("t")).mapInArrow(cut, PIECE)
 
@@ -146,8 +147,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, fill
     return rows.groupBy("bucket").applyInArrow(of_bucket, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer or default_tokenizer()), "pieces"))
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, forget: bool = False) -> DataFrame:
+    return pack(materialize(pieces(docs, tokenizer or default_tokenizer(), forget=forget), "pieces"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

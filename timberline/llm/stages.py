@@ -50,4 +50,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, packed into sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, forget=True)
