@@ -39,3 +39,33 @@ def test_other_columns_and_empty(make_docs):
     assert out.columns == [*docs.columns, "__line_dedup"]
     assert [r.text for r in out.collect()] == [""] * 5
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
+
+
+def allocated(spark):
+    """Bytes that the JVM's living threads have allocated so far."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    bean = jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    longs, of = jvm.java.lang.Class.forName("[J"), new(jvm.java.lang.Class, 1)
+    of[0] = longs
+    args = new(jvm.java.lang.Object, 1)
+    args[0] = bean.getAllThreadIds()
+    return sum(x for x in jvm.java.lang.Class.forName("com.sun.management.ThreadMXBean").getMethod("getThreadAllocatedBytes", of).invoke(bean, args) if x > 0)
+
+
+def test_characters_are_no_objects(spark, make_docs):
+    """Trimming made a Java object of each character, twice: gigabytes of garbage beside texts that fit in memory."""
+    docs = make_docs([(i, "\n".join(f"row {i} {j} " + "word " * 400 for j in range(10)), "h") for i in range(300)]).cache()
+    chars = docs.agg(F.sum("n_chars")).first()[0]
+    line_dedup.drop_boilerplate(docs.limit(3)).count()
+    before = allocated(spark)
+    assert line_dedup.drop_boilerplate(docs).agg(F.sum(F.length("text"))).first()[0] == chars
+    each = (allocated(spark) - before) / chars
+    docs.unpersist()
+    assert 0 < each < 60, each
+
+
+def test_white_space_within_lines(make_docs):
+    """A tab within a line counts as a space, wherever lines have one; what stays is unchanged."""
+    docs = make_docs([(i, f"\r{['a b', 'a\tb', 'a\x0bb\t', ' a\x0cb'][i % 4]}\r\nrest\t{i} \x0c", "h") for i in range(8)])
+    out = line_dedup.drop_boilerplate(docs, ratio=0.6).collect()
+    assert {r.doc_id: r.text for r in out} == {i: f"rest\t{i} \x0c" for i in range(8)}

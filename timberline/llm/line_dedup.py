@@ -20,6 +20,9 @@ the column that is added. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,14 @@ RATIO = 0.05
 LEAST_PAGES = 3
 BROADCAST_ROWS = 200_000
 SALTS = 32
+#: white space within a line that isn't a space
+SPACES = "\t\x0b\x0c\r"
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
+    """The line with ASCII white space as spaces, trimmed; translate makes an object of each character, so it only gets lines that it changes."""
+    changes = reduce(or_, [F.contains(line, F.lit(c)) for c in SPACES])
+    return F.trim(F.when(changes, F.translate(line, SPACES, " " * len(SPACES))).otherwise(line))
 
 
 def _digest(line: Column) -> Column:
