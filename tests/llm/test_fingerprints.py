@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import xxhash
 
@@ -145,3 +146,29 @@ def test_each_size_of_tables(spark):
     df = df.withColumn("la", fp.subtables("da")).withColumn("lb", fp.subtables("db")).withColumn("sa", fp.folded("la")).withColumn("sb", fp.folded("lb"))
     got = df.select(fp.F.expr(fp.differing("sa", "sb", "la", "lb", "da", "db")).alias("w"), fp.F.size("da").alias("n")).collect()
     assert {r.n: r.w for r in got} == {len(a): weight(set(a) ^ set(b)) for a, b in sets}
+
+
+def test_cutting_takes_no_longer_than_a_plain_pass(spark):
+    """A few nanoseconds a character: as a pattern of [\\s\\S] it took over 400."""
+    text = fp.F.concat(fp.F.repeat(fp.F.lit("some words of a text that goes on "), fp.F.lit(3000)), fp.F.col("id").cast("string"))
+    df = spark.range(80).repartition(1).select(text.alias("text"))
+    took = []
+    for _ in range(3):
+        began = time.monotonic()
+        assert df.agg(fp.F.sum(fp.F.size(fp.digests("text")))).first()[0] > 0
+        took.append(time.monotonic() - began)
+    assert min(took) / (80 * 102_000) < 200e-9
+
+
+def test_a_block_names_its_digests(spark):
+    """A block whose cells hold one digest at most says all at once; peeling gives the same, and hopeless tables none."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([([rng.getrandbits(63) for _ in range(n)], [rng.getrandbits(63) for _ in range(m)]) for n in (0, 1, 2, 3, 40) for m in (0, 1, 2)], "da array<bigint>, db array<bigint>")
+    both = "concat(da, db)"
+    got = df.select("da", "db", *[fp.F.expr(fp.named(fp._block(both, at))).alias(f"b{at}") for at in (0, 4, 8)], fp.F.expr(fp.peeled(fp._both("da", "db"))).alias("p"), fp.F.expr(fp.decided(fp._both("da", "db"))).alias("d")).collect()
+    for r in got:
+        want = weight({*r.da, *r.db})
+        for at in range(3):
+            cells = [d >> 8 + 2 * at & 3 for d in (*r.da, *r.db)]
+            assert r[f"b{4 * at}"] == (want if len(set(cells)) == len(cells) else None)
+        assert r.p == r.d == (None if len(r.da) == 40 else want)

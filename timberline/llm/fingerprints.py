@@ -34,11 +34,11 @@ ROUNDS = CELLS
 #: sizes of tables after the 12 cells and the eight tables
 RUNGS = 4
 CUT = "[a-hA-H0-4.,;:!?][ \\t\\r\\n]+"
-#: where a zone starts, its length if it ends, pattern of its cells
+#: where a zone starts, its length if it ends, pattern of its cells; any character is (?s). as Java takes ten times as long for [\s\S]
 ZONES = (
-    (1, 16, r"[\s\S]{1,2}"),
-    (17, 240, rf"[\s\S]{{4,40}}?{CUT}|[\s\S]{{1,40}}"),
-    (257, None, rf"[\s\S]{{48,180}}?{CUT}|[\s\S]{{1,180}}"),
+    (1, 16, r"(?s).{1,2}"),
+    (17, 240, rf"(?s).{{4,40}}?{CUT}|.{{1,40}}"),
+    (257, None, rf"(?s).{{48,180}}?{CUT}|.{{1,180}}"),
 )
 NULL_KEY = -(2**63)
 CELL = "struct<n:int,k:bigint,c:bigint>"
@@ -51,18 +51,19 @@ def digests(text: str) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(F.lit(-256)).bitwiseOR(F.length(p))))
 
 
-def weight(ds: str) -> str:
-    return f"aggregate({ds}, 0L, (a, d) -> a + (d & 255L))"
+def _let(name: str, value: str, body: str, kind: str = "CAST(NULL AS BIGINT)") -> str:
+    """body (of kind's type) with name for value. transform(array(value), name -> body)[0] would ask all of body for its type, each time."""
+    return f"aggregate(array({value}), {kind}, (unused, {name}) -> {body})"
 
 
-def _hit(key: str) -> str:
-    """Whether cell i (0 to 11) is one of key's three."""
-    return f"(shiftrightunsigned({key}, 8 + 2 * (i div 4)) & 3L) = i % 4"
+def weight(ds: str) -> str:
+    return f"aggregate({ds}, 0L, (a, d) -> a + (d & 255L))"
 
 
-#: the cells as constants: which two bits of a digest to look at, and what they are
-_EACH = "array(" + ", ".join(f"named_struct('b', {8 + 2 * (i // 4)}, 'v', {i % 4}L)" for i in range(CELLS)) + ")"
-_IN = "d -> (shiftrightunsigned(d, i.b) & 3L) = i.v"
+#: the cells as constants: which bits of a digest to look at, and what they are
+_CELL = [f"named_struct('m', {3 << 8 + 2 * (i // 4)}L, 'v', {i % 4 << 8 + 2 * (i // 4)}L)" for i in range(CELLS)]
+_EACH = f"array({', '.join(_CELL)})"
+_IN = "d -> (d & i.m) = i.v"
 
 
 def _cells(ds: str) -> str:
@@ -72,14 +73,19 @@ def _cells(ds: str) -> str:
     return f"transform({_EACH}, i -> aggregate(filter({ds}, {_IN}), {empty}, {add}))"
 
 
+def _parts(rung: int) -> str:
+    """The eight sub-tables of a rung, as their digests' bits."""
+    return "array(" + ", ".join(f"{s << 40 + 3 * rung}L" for s in range(SUBTABLES)) + ")"
+
+
 def _part(ds: str, rung: int, s: str = "s") -> str:
-    """Of the digests of one table, those of its sub-table s of eight at a rung."""
-    return f"filter({ds}, d -> (shiftrightunsigned(d, {40 + 3 * rung}) & 7L) = {s})"
+    """Of the digests of one table, those of its sub-table s (of _parts) at a rung."""
+    return f"filter({ds}, d -> (d & {7 << 40 + 3 * rung}L) = {s})"
 
 
 def subtables(ds: str) -> Column:
     """The eight tables of a digest array column: array<array<cell>>."""
-    return F.expr(f"transform(sequence(0, {SUBTABLES - 1}), s -> transform(array({_part(ds, 0)}), mine -> {_cells('mine')})[0])")
+    return F.expr(f"transform(transform({_parts(0)}, s -> {_part(ds, 0)}), mine -> {_cells('mine')})")
 
 
 def folded(tables: str) -> Column:
@@ -89,7 +95,7 @@ def folded(tables: str) -> Column:
 
 
 def fingerprint(table: str) -> Column:
-    return F.expr(f"lower(array_join(transform({table}, x -> concat(lpad(hex(x.n), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 16, '0'))), ''))")
+    return F.expr(f"translate(array_join(transform({table}, x -> concat(lpad(hex(x.n), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 16, '0'))), ''), 'ABCDEF', 'abcdef')")
 
 
 def difference(a: str, b: str) -> str:
@@ -97,17 +103,37 @@ def difference(a: str, b: str) -> str:
 
 
 def peeled(cells: str) -> str:
-    """Summed weight of the digests peeled from a difference table; null if peeling fails."""
+    """Summed weight of the digests peeled from a difference table; null if peeling fails.
+
+    A table that is done or stuck leaves its cells behind, as each further round copies what is left of it.
+    """
     pure = "array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND xxhash64(x.k) = x.c), x -> named_struct('k', x.k, 'n', x.n)))"
     less = "(a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'c', a.c ^ xxhash64(p.k))"
-    rest = f"transform(st.cells, (c, i) -> aggregate(filter(pure, p -> {_hit('p.k')}), c, {less}))"
-    stuck = "named_struct('cells', st.cells, 'w', st.w, 'go', false)"
+    rest = f"zip_with(st.cells, {_EACH}, (c, i) -> aggregate(filter(pure, p -> (p.k & i.m) = i.v), c, {less}))"
+    left = "exists(st.cells, x -> x.n <> 0 OR x.k <> 0L OR x.c <> 0L)"
+    ended = f"named_struct('cells', slice(st.cells, 1, 0), 'w', if({left}, -1L, st.w), 'go', false)"
     moved = f"named_struct('cells', {rest}, 'w', st.w + aggregate(pure, 0L, (a, p) -> a + (p.k & 255L)), 'go', true)"
-    step = f"if(st.go, transform(array({pure}), pure -> if(size(pure) = 0, {stuck}, {moved}))[0], st)"
-    end = "if(exists(st.cells, x -> x.n <> 0 OR x.k <> 0L OR x.c <> 0L), NULL, st.w)"
+    step = f"if(st.go, {_let('pure', pure, f'if(size(pure) = 0, {ended}, {moved})', 'st')}, st)"
+    end = f"if(st.w < 0 OR {left}, NULL, st.w)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'w', 0L, 'go', true), (st, r) -> {step}, st -> {end})"
 
 
+def named(block: str) -> str:
+    """Summed weight of the digests in a block of four difference cells; null unless each cell is empty or names one digest.
+
+    Every digest is in one cell of the block, so such a block says all without any peeling.
+    """
+    clear = "x.k = 0L AND x.c = 0L OR xxhash64(x.k) = x.c"
+    return _let("four", block, f"if(forall(four, x -> {clear}), aggregate(four, 0L, (w, x) -> w + (x.k & 255L)), NULL)")
+
+
+def decided(cells: str) -> str:
+    """As peeled, but blocks that name all digests come first, and no round is begun where no cell names one."""
+    blocks = ", ".join(named(f"slice(whole, {at + 1}, 4)") for at in range(0, CELLS, 4))
+    some = "exists(whole, x -> abs(x.n) = 1 AND xxhash64(x.k) = x.c)"
+    return _let("whole", cells, f"coalesce({blocks}, if({some}, {peeled('whole')}, NULL))")
+
+
 def _both(a: str, b: str) -> str:
     """The difference table of two digest arrays, made at once."""
     empty = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
@@ -116,26 +142,35 @@ def _both(a: str, b: str) -> str:
     return f"transform({_EACH}, i -> aggregate(filter({b}, {_IN}), aggregate(filter({a}, {_IN}), {empty}, {add}), {less}))"
 
 
-def _split(a: str, b: str, rung: int) -> str:
-    """Weight of the digests in one of two arrays only: eight tables, each split further if it can't be peeled.
+def _block(both: str, at: int) -> str:
+    """Four cells, from one on, of the difference table of two digest arrays, given as one array: without counts, as what both have cancels."""
+    add = "(t, d) -> named_struct('k', t.k ^ d, 'c', t.c ^ xxhash64(d))"
+    return f"transform(array({', '.join(_CELL[at : at + 4])}), i -> aggregate(filter({both}, {_IN}), named_struct('k', 0L, 'c', 0L), {add}))"
+
+
+def _split(both: str, a: str, b: str, rung: int) -> str:
+    """Weight of the digests in one of two arrays (a, b) only, of those in ``both``: eight tables, each split further if it can't be peeled.
 
+    A table's blocks are made one by one, and all of it only if none names its digests.
     The last size compares what is left of one table as it is: two digests would have to agree in 15 bits, and in all their cells.
     """
-    ma, mb, s = f"ma{rung}", f"mb{rung}", f"s{rung}"
-    table = peeled(_both(ma, mb))
-    last = f"{weight(f'array_except({ma}, {mb})')} + {weight(f'array_except({mb}, {ma})')}"
-    larger = _split(ma, mb, rung + 1) if rung < RUNGS else last
-    one = f"if(size({ma}) = 0 AND size({mb}) = 0, 0L, coalesce({table}, {larger}))"
-    bound = f"transform(array({_part(a, rung, s)}), {ma} -> transform(array({_part(b, rung, s)}), {mb} -> {one})[0])[0]"
-    return f"aggregate(sequence(0, {SUBTABLES - 1}), 0L, (w{rung}, {s}) -> w{rung} + {bound})"
+    mine, s = f"m{rung}", f"s{rung}"
+    ma, mb = f"array_intersect({a}, {mine})", f"array_intersect({b}, {mine})"
+    blocks = ", ".join(named(_block(mine, at)) for at in range(0, CELLS, 4))
+    table = _let("ma", ma, _let("mb", mb, decided(_both("ma", "mb"))))
+    last = f"{weight(f'array_except({ma}, {b})')} + {weight(f'array_except({mb}, {a})')}"
+    larger = _split(mine, a, b, rung + 1) if rung < RUNGS else last
+    one = f"if(size({mine}) = 0, 0L, coalesce({blocks}, {table}, {larger}))"
+    return f"aggregate({_parts(rung)}, 0L, (w{rung}, {s}) -> w{rung} + {_let(mine, _part(both, rung, s), one)})"
 
 
 def differing(small_a: str, small_b: str, large_a: str, large_b: str, ds_a: str, ds_b: str) -> str:
     """Weight of the digests in one version only, peeled from 12 cells, else from eight tables, else from as many as it takes."""
-    first = peeled(difference(small_a, small_b))
+    first = decided(difference(small_a, small_b))
     pairs = f"zip_with({large_a}, {large_b}, (t, u) -> {difference('t', 'u')})"
-    again = f"transform(array({_part(ds_a, 0, 's0')}), ma0 -> transform(array({_part(ds_b, 0, 's0')}), mb0 -> {_split('ma0', 'mb0', 1)})[0])[0]"
-    second = f"aggregate(transform({pairs}, (t, s0) -> coalesce({peeled('t')}, {again})), 0L, (w, x) -> w + x)"
+    again = _let("m0", _part("every", 0, "s0"), _split("m0", ds_a, ds_b, 1))
+    each = f"zip_with({pairs}, {_parts(0)}, (t, s0) -> coalesce({decided('t')}, {again}))"
+    second = _let("every", f"concat({ds_a}, {ds_b})", f"aggregate({each}, 0L, (w, x) -> w + x)")
     return f"coalesce({first}, {second})"
 
 
