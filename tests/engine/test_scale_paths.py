@@ -7,7 +7,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from timberline import api
+from timberline import api, catalog_io
 from timberline.plans.frame import start
 from timberline.sources import lookups as L
 from timberline.sources import mmdb, readers, sinks
@@ -44,6 +44,39 @@ def test_context_across_slices(many, monkeypatch, size):
     assert sorted((r.match_no, r.offset, r.ingest_seq) for r in found) == sorted(want)
 
 
+@pytest.mark.parametrize("text", ["*", "k=1* reverse=true", "order=ingest_ts k=13"])
+@pytest.mark.parametrize("rows", [60, 10**6])
+def test_all_pages_at_once(spark, many, monkeypatch, text, rows):
+    records, _ = many
+    monkeypatch.setattr(api.Slices.of.__func__, "__defaults__", (rows, 4096))
+    size = 150
+    walked, token = [], None
+    while True:
+        found, token = api.page(records, text, size, token)
+        walked.append([r.ingest_seq for r in found])
+        if token is None:
+            break
+        if len(walked) == 1:
+            behind = token
+    group = f"pages {text} {rows}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = sorted(api.pages(records, text, 2).select("page_no", "row_no", "ingest_seq").collect(), key=lambda r: r.row_no)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 40  # a walk would take as many as there are pages, up to 750
+    flat = [x for p in walked for x in p]
+    assert [(r.page_no, r.row_no, r.ingest_seq) for r in got] == [(i // 2, i, x) for i, x in enumerate(flat)]
+    if len(walked) > 1:
+        assert [r.ingest_seq for r in api.pages(records, text, size, behind).orderBy("row_no").collect()] == flat[size:]
+
+
+def test_the_query_of_pages_walks_no_further_than_one(spark, monkeypatch):
+    calls, page = [], api.page
+    monkeypatch.setattr(api, "page", lambda *a, **k: calls.append(a) or page(*a, **k))
+    found = sorted(tuple(r) for r in catalog_io.paged(spark, "/root/testdata/sf0.01").collect())
+    assert [p for p, _ in found] == list(range(len(found))) and len(found) > 200
+    assert len(calls) == 1
+
+
 def test_dedup_against_brute_force(spark):
     rng = random.Random(4)
     rows, want = [], []

@@ -200,29 +200,46 @@ def _token(row: T.Row, columns: list[str]) -> str:
     return json.dumps([v.isoformat() if isinstance(v := row[c], datetime) else v for c in columns])
 
 
-def page(records: Records, text: str, size: int, token: str | None = None, now: datetime | None = None) -> tuple[list, str | None]:
-    """(rows, token for the next page or null). Keyset pagination: a token is the last row's order key."""
-    result = search(records, text, now=now)
-    frame = result.frame
+def _paged(records: Records, text: str, token: str | None, now: datetime | None) -> Frame:
+    """The frame of a search, behind a token if there is one."""
+    frame = search(records, text, now=now).frame
     if not frame.records or frame.sorted:
         raise QueryError("only unsorted record searches have pages")
-    columns = [o.column for o in frame.order]
-    if token is not None:
-        after, equal = F.lit(False), F.lit(True)
-        for o, v in zip(frame.order, json.loads(token)):
-            c = F.col(o.column)
-            kind = frame.df.schema[o.column].dataType
-            at = F.lit(v).cast(kind)
-            beyond = c < at if o.descending else c > at
-            if v is None:
-                beyond = F.lit(False) if o.descending else c.isNotNull()
-            elif o.descending:
-                beyond = beyond | c.isNull()
-            after = after | (equal & F.coalesce(beyond, F.lit(False)))
-            equal = equal & c.eqNullSafe(at)
-        frame = frame.with_df(frame.df.where(after))
+    if token is None:
+        return frame
+    after, equal = F.lit(False), F.lit(True)
+    for o, v in zip(frame.order, json.loads(token)):
+        c = F.col(o.column)
+        kind = frame.df.schema[o.column].dataType
+        at = F.lit(v).cast(kind)
+        beyond = c < at if o.descending else c > at
+        if v is None:
+            beyond = F.lit(False) if o.descending else c.isNotNull()
+        elif o.descending:
+            beyond = beyond | c.isNull()
+        after = after | (equal & F.coalesce(beyond, F.lit(False)))
+        equal = equal & c.eqNullSafe(at)
+    return frame.with_df(frame.df.where(after))
+
+
+def page(records: Records, text: str, size: int, token: str | None = None, now: datetime | None = None) -> tuple[list, str | None]:
+    """(rows, token for the next page or null). Keyset pagination: a token is the last row's order key."""
+    frame = _paged(records, text, token, now)
     found = ordered(frame).limit(size + 1).collect()
-    return found[:size], (_token(found[size - 1], columns) if len(found) > size else None)
+    return found[:size], (_token(found[size - 1], [o.column for o in frame.order]) if len(found) > size else None)
+
+
+def pages(records: Records, text: str, size: int, token: str | None = None, now: datetime | None = None) -> DataFrame:
+    """All pages (behind a token) at once: page_no and row_no, from 0, and the record.
+
+    A page by itself reads all its search again, so that a walk over many reads the table as often; here rows are numbered by
+    time slices, in four passes however many pages there are, and none comes to the driver.
+    """
+    frame = _paged(records, text, token, now)
+    numbered = Slices.of(frame, column=frame.order[0].column).numbered(frame)
+    row = F.col("__n") - 1
+    visible = [F.col(f"`{c}`").alias(n) for n, c in frame.fields.items()]
+    return numbered.select(F.floor(row / size).alias("page_no"), row.alias("row_no"), *[c for c in STANDARD if c in numbered.columns], *visible)
 
 
 def search_then_follow(records: Records, text: str) -> DataFrame:
@@ -281,13 +298,13 @@ class Slices:
     column: str = "ingest_ts"
 
     @classmethod
-    def of(cls, frame: Frame, rows: int = SLICE_ROWS, most: int = MOST_SLICES) -> Slices:
-        us = F.unix_micros(F.col("ingest_ts").cast("timestamp"))
+    def of(cls, frame: Frame, rows: int = SLICE_ROWS, most: int = MOST_SLICES, *, column: str = "ingest_ts") -> Slices:
+        us = F.unix_micros(F.col(column).cast("timestamp"))
         total = frame.df.count()
         parts = max(1, min(most, total // rows))
         shares = [i / parts for i in range(1, parts)]
         cuts = frame.df.agg(F.percentile_approx(us, shares, 20 * parts).alias("q")).first()["q"] if shares else None
-        found = cls(tuple(sorted(set(cuts or ()))), {})
+        found = cls(tuple(sorted(set(cuts or ()))), {}, column)
         counted = frame.df.groupBy(found.number().alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a slice
         return replace(found, sizes={r["s"]: r["n"] for r in counted})
 
@@ -323,9 +340,9 @@ class Slices:
         df = frame.df
         if wanted is not None:
             df = df.where(self._within(df, wanted)).where(self.number().isin(wanted))
-        ahead, total = [], 0
-        for s in range(len(self.bounds) + 1):
-            ahead.append(total)
+        ahead, total = [0] * (len(self.bounds) + 1), 0
+        for s in range(len(ahead))[:: -1 if frame.order[0].descending else 1]:
+            ahead[s] = total
             total += self.sizes.get(s, 0)
         place = F.row_number().over(Window.partitionBy("__s").orderBy(*[o.key() for o in frame.order]))
         df = df.withColumn("__s", self.number())

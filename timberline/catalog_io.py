@@ -375,15 +375,15 @@ QUERIES["j10_built_in"], ORACLES["j10_built_in"] = QUERIES["j3_user_agent"], ORA
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages of a search, token by token."""
-    out, token = [], None
-    while True:
-        rows, token = api.page(events(spark, sf_dir), "event_type=error value>100", 50, token)
-        out += [(len(out) + i, r["a_event_id"]) for i, r in enumerate(rows)]
-        if token is None:
-            return spark.createDataFrame(out, "place long, event_id long")
+    """All pages of a search: the first by itself, and those behind its token at once."""
+    rows, token = api.page(events(spark, sf_dir), _SEARCH, 50)
+    first = spark.createDataFrame([(i, r["a_event_id"]) for i, r in enumerate(rows)], "place long, event_id long")
+    if token is None:
+        return first
+    return first.unionByName(api.pages(events(spark, sf_dir), _SEARCH, 50, token).select((F.col("row_no") + len(rows)).alias("place"), "event_id"))
 
 
+_SEARCH = "event_type=error value>100"
 add_function("m4_pages", paged, "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS place, event_id FROM events WHERE event_type = 'error' AND value > 100")
 
 
