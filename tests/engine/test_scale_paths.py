@@ -2,12 +2,15 @@
 
 import random
 import struct
+import tracemalloc
 from datetime import timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from timberline import api, catalog_io
+from timberline.functions import extract
 from timberline.plans.frame import start
 from timberline.sources import lookups as L
 from timberline.sources import mmdb, readers, sinks
@@ -182,3 +185,18 @@ def test_answers_are_remembered_for_a_while():
     now[0] = 3.0
     ask("a"), ask("b")
     assert asked == ["a", "b", "b"]
+
+
+def test_extraction_holds_a_piece_of_a_batch(spark):
+    """Python objects of a piece at most, not of all pairs of a batch; pieces end by number and by bytes."""
+    texts = [" ".join(f"k{j}={i * j}" for j in range(40)) for i in range(2000)] + [None, "", "x" * 300_000, None, "é=1 ok=2"]
+    messages = pa.array(texts)
+    tracemalloc.start()
+    out = pa.concat_arrays([extract._pairs_array(p) for p in extract._pieces(messages)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6
+    assert [[(p["k"], p["v"], p["s"]) for p in row] for row in out.to_pylist()] == [extract.pairs_of(t) for t in texts]
+    assert [len(p) for p in extract._pieces(pa.array([], pa.string()))] == [0]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3).select("i", extract.pairs("t").alias("p")).collect()
+    assert {r.i: [tuple(p) for p in r.p] for r in got} == {i: extract.pairs_of(t) for i, t in enumerate(texts)}
